@@ -88,7 +88,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def regress(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, l2: float = 1e-3, steps: int = 250, rate: float = 0.1) -> tuple[np.ndarray, float]:
+def regress(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, l2: float = 1e-4, steps: int = 250, rate: float = 0.1) -> tuple[np.ndarray, float]:
     """Weights (scale included) and bias of a logistic regression; rows hold each row's features. Adam on all rows."""
     sizes = np.array([len(r) for r in rows])
     flat = np.concatenate(rows).astype(np.int64)
