@@ -196,8 +196,9 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Writes pages (page_id, url, html) below folder; the manifest of the archives: archive, records, bytes."""
     spark = pages.sparkSession
     items = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    sample = items.orderBy(F.xxhash64("page_id"), "page_id", "payload").select(F.substring("payload", 1, DICT_PAGE_BYTES).alias("payload")).limit(DICT_PAGES)
-    dictionary = spark.sparkContext.broadcast(train_dictionary([bytes(r[0]) for r in sample.collect()]))
+    few = items.where("page_id is not null").select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(DICT_PAGES).withColumnRenamed("page_id", "f_id")
+    sample = items.join(F.broadcast(few), items["page_id"] == few["f_id"]).select("page_id", F.substring("payload", 1, DICT_PAGE_BYTES).alias("payload"))  # DICT_PAGES numbers
+    dictionary = spark.sparkContext.broadcast(train_dictionary([bytes(r[1]) for r in sorted(sample.limit(4 * DICT_PAGES).collect(), key=lambda r: (r[0], bytes(r[1])))]))
     marked = items.withColumn("digest", F.sha2("payload", 256)).withColumn("key", F.when(F.length("payload") >= LEAST_BYTES, F.col("digest")))
     firsts = marked.where("key is not null").groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select(F.col("key").alias("f_key"), "first")
     told = marked.join(firsts, marked["key"] == firsts["f_key"], "left").select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
