@@ -34,6 +34,7 @@ KAPPA = 20.0
 #: Rejected below this posterior probability.
 ACCEPT_AT = 0.6
 CHUNK = 1 << 20
+SALTS = 64
 
 _fold = np.full(256, 32, np.uint8)
 _fold[97:123] = np.arange(97, 123)
@@ -147,7 +148,10 @@ def identify(items: DataFrame, model: tuple[list[str], np.ndarray] | None = None
         .agg(F.max_by(smooth(F.col("h"), smooth(F.col("d"), above)), F.coalesce("domain", F.lit(""))).alias("p"), F.max_by(F.coalesce(suffix_ll, flat), F.coalesce("domain", F.lit(""))).alias("s_ll"))
         .select(F.col("host").alias("h_host"), "p", "s_ll")
     )
-    joined = voted.join(by_host, voted["host"] == by_host["h_host"], "left")
+    # a host may hold a third of all rows: its rows go to SALTS tasks, each with a copy of the host's own row
+    salted = by_host.withColumn("h_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    voted = voted.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    joined = voted.join(salted, (voted["host"] == salted["h_host"]) & (voted["salt"] == salted["h_salt"]), "left")
     host_ll = F.transform(F.coalesce("p", above), lambda x: F.log(x))
     zipped = F.arrays_zip(F.col("text_ll").alias("t"), declared.alias("d"), host_ll.alias("h"), F.coalesce("s_ll", flat).alias("s"))
     fused = joined.withColumn("fused", F.transform(zipped, lambda z: TEMPER * z["t"] + z["d"] + z["h"] + z["s"]))
