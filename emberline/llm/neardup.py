@@ -12,9 +12,11 @@ passage that many documents share matters only to those which it makes up by mor
 
 Candidates. No list emits all its pairs. Every document of a list is compared with the list's leader, what is linked becomes one
 component, and lists within one component are done. Lists of up to SMALL documents then compare what is still in
-different components. Larger ones take two further leaders; what is left is compared in blocks inside tasks, documents
-outside the list's largest component against all others: first the best partner of each document in each
-other component, then whatever is left. Only pairs whose sketches pass leave a task.
+different components. Larger ones take two further leaders; documents whose lists are still open then form groups, and a
+group is compared in blocks inside tasks, documents outside its largest component against all others. What passes by
+sketches is verified there on full sets, and only links that join components leave a task: no rows stand for
+pairs. That work alone grows with the square of a group, of documents that have over a third of their text in
+common and are still no near-duplicates of one another.
 
 Each candidate is estimated by the sketch of its union and verified on full sets; sketches that are whole sets decide at
 once. Links are exact (on 63-bit hashes); components come from links between different sets only.
@@ -41,8 +43,10 @@ SHINGLE = 5
 PERCENT = 75
 K, LEAST = 64, 24
 SMALL = 32
-BLOCK = 256
-CACHED = 500_000
+BLOCK, BLOCK_SHINGLES = 256, 1_000_000
+#: Exact sizes of intersections come from one matrix product where a pair of blocks has at most so many common values.
+DENSE = 32_768
+CACHED = 100_000
 P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -100,7 +104,7 @@ def _full(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, data = batch.column(0), batch.column(1).to_pylist()
         for at in range(0, len(data), 500):
-            yield pa.record_batch([ids[at : at + 500], _lists([shingle_set(x) for x in data[at : at + 500]])], names=["rep", "values"])
+            yield pa.record_batch([ids[at : at + 500], _lists([shingle_set(x) for x in data[at : at + 500]])], names=["rep", "vals"])
 
 
 def _items(docs: DataFrame, text: str) -> DataFrame:
@@ -119,6 +123,75 @@ def _entries(reps: DataFrame) -> DataFrame:
     return kept
 
 
+def _matrix(values: np.ndarray, owner: np.ndarray, rows: int, columns: np.ndarray) -> np.ndarray:
+    """1 where a row has a column's value."""
+    k = np.minimum(np.searchsorted(columns, values), len(columns) - 1)
+    ok = columns[k] == values
+    x = np.zeros((rows, len(columns)), np.float32)
+    x[owner[ok], k[ok]] = 1
+    return x
+
+
+def _flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray], most: int | None = None) -> np.ndarray | None:
+    """Sizes of all intersections; None if over `most` values occur on both sides."""
+    (lv, lo), (rv, ro) = _flat(left), _flat(right)
+    both = np.intersect1d(lv, rv)
+    if most is not None and len(both) > most:
+        return None
+    if not len(both):
+        return np.zeros((len(left), len(right)), int)
+    return (_matrix(lv, lo, len(left), both) @ _matrix(rv, ro, len(right), both).T).astype(int)
+
+
+def _compare(t: pa.Table) -> pa.Table:
+    """Links (u, v) between two blocks of a group, as many as join components."""
+    links: list[tuple[int, int]] = []
+    out = lambda: pa.table({"u": pa.array([u for u, _ in links], pa.int64()), "v": pa.array([v for _, v in links], pa.int64())})
+    if t.num_rows < 2:
+        return out()
+    rep, n, comp, own = (t[k].to_numpy() for k in ("rep", "n", "comp", "own"))
+    major, kind, i, j = t["major"].to_numpy(), t["kind"][0].as_py(), t["i"][0].as_py(), t["j"][0].as_py()
+    left, right = np.flatnonzero(major if kind == "d" else own == i), np.flatnonzero(~major if kind == "d" else own == j)
+    if not len(left) or not len(right):
+        return out()
+    column = t["vals"].combine_chunks()
+    ends, values = column.offsets.to_numpy(), column.values.to_numpy()
+    sets = [values[ends[r] : ends[r + 1]] for r in range(t.num_rows)]
+    few = _common([sets[r][:K] for r in left], [sets[r][:K] for r in right])
+    a, b = n[left][:, None], n[right][None, :]
+    small, large = np.minimum(a, b), np.maximum(a, b)
+    need = np.where(large <= K, -(-PERCENT * large // 100), np.minimum(LEAST, -(-PERCENT * small // 100)))
+    p, q = np.nonzero((few >= need) & (100 * small >= PERCENT * large) & (comp[left][:, None] != comp[right][None, :]))
+    order = np.argsort(-few[p, q], kind="stable")
+    p, q = p[order], q[order]
+    if len(p) > 2000:
+        lp, rq = np.unique(p), np.unique(q)
+        exact = _common([sets[left[r]] for r in lp], [sets[right[r]] for r in rq], DENSE)
+        if exact is not None:
+            both = exact[np.searchsorted(lp, p), np.searchsorted(rq, q)]
+            ok = 100 * both >= PERCENT * (n[left[p]] + n[right[q]] - both)
+            p, q = p[ok], q[ok]
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while (up := root.get(c, c)) != c:
+            root[c] = c = root.get(up, up)
+        return c
+
+    for x, y in zip(left[p].tolist(), right[q].tolist(), strict=True):
+        cx, cy = find(int(comp[x])), find(int(comp[y]))
+        if cx != cy:
+            both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            if 100 * both >= PERCENT * (n[x] + n[y] - both):
+                root[cx] = cy
+                links.append((int(rep[x]), int(rep[y])))
+    return out()
+
+
 class _Search:
     """Candidates, verification and components over one set of lists."""
 
@@ -158,12 +231,20 @@ class _Search:
         x = held.select(F.posexplode("x").alias("i", "l"), "x").where("i > 0").select("l", F.explode(F.slice("x", F.lit(1), F.col("i"))).alias("r"))
         return x.select(F.col("l.rep").alias("a"), F.col("l.n").alias("an"), F.col("l.comp").alias("ac"), F.col("r.rep").alias("b"), F.col("r.n").alias("bn"), F.col("r.comp").alias("bc"))
 
-    def blocks(self, placed: DataFrame, best: bool) -> DataFrame:
-        """Pairs of open lists of over SMALL documents whose sketches pass, compared in blocks: documents outside the
-        largest component with those inside, and with one another."""
-        by = placed.groupBy("v", "comp").agg(F.count("*").alias("k")).groupBy("v").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("m"), F.count("*").alias("comps"))
-        opened = by.where((F.col("m") > SMALL) & (F.col("comps") > 1)).select(F.col("v").alias("o_v"), F.col("top.comp").alias("top"), F.ceil(F.col("top.k") / BLOCK).cast("int").alias("nd"), F.ceil((F.col("m") - F.col("top.k")) / BLOCK).cast("int").alias("nb"))
-        x = placed.join(opened, placed["v"] == opened["o_v"]).withColumn("major", F.col("comp") == F.col("top"))
+    def blocks(self, placed: DataFrame) -> DataFrame:
+        """Links of documents that share an open list of over SMALL documents. Such documents form groups (joined by
+        those lists), and each group is compared in blocks: documents outside its largest component with those inside,
+        and with one another. A task holds two blocks with their full sets; of the links that it finds, those leave it
+        that join components."""
+        opened = self.open_lists(placed, F.min("rep").alias("leader")).where(F.col("m") > SMALL).select("o_v", "leader")
+        held = cut(placed.join(opened, placed["v"] == opened["o_v"]).select("rep", "n", "comp", "leader").distinct(), "hot")
+        groups = connected_components(held.where("rep <> leader").select(F.col("rep").alias("u"), F.col("leader").alias("v")), "groups")
+        x = held.select("rep", "n", "comp").distinct()
+        x = x.join(groups.toDF("g_node", "g"), x["rep"] == F.col("g_node")).select("g", "rep", "n", "comp")
+        by = x.groupBy("g", "comp").agg(F.count("*").alias("k"), F.sum("n").alias("s")).groupBy("g").agg(F.max(F.struct("k", "comp", "s")).alias("top"), F.sum("k").alias("m"), F.sum("s").alias("s"), F.count("*").alias("comps"))
+        number = lambda k, s: F.greatest(F.ceil(k / BLOCK), F.ceil(s / BLOCK_SHINGLES)).cast("int")
+        by = by.where("comps > 1").select(F.col("g").alias("t_g"), F.col("top.comp").alias("top"), number(F.col("top.k"), F.col("top.s")).alias("nd"), number(F.col("m") - F.col("top.k"), F.col("s") - F.col("top.s")).alias("nb"))
+        x = x.join(by, x["g"] == by["t_g"]).withColumn("major", F.col("comp") == F.col("top"))
         own = F.pmod(F.xxhash64("rep"), F.when(F.col("major"), F.col("nd")).otherwise(F.col("nb"))).cast("int")
         d, b = F.lit("d"), F.lit("b")
         cell = lambda kind, i, j: F.struct(kind.alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"))
@@ -171,52 +252,24 @@ class _Search:
         cells = F.when(F.col("major"), F.transform(numbers(F.col("nb")), lambda j: cell(d, F.col("own"), j))).otherwise(
             F.concat(F.transform(numbers(F.col("nd")), lambda i: cell(d, i, F.col("own"))), F.transform(numbers(F.col("nb")), lambda j: cell(b, F.least(F.col("own"), j), F.greatest(F.col("own"), j))))
         )
-        x = x.withColumn("own", own).select("v", "rep", "n", "comp", "own", "major", F.explode(cells).alias("c")).select("v", "rep", "n", "comp", "own", "major", "c.kind", "c.i", "c.j")
-        sk = self.reps.select(F.col("rep").alias("s_rep"), "sketch")
-        x = x.join(sk, x["rep"] == sk["s_rep"]).select("v", "kind", "i", "j", "rep", "n", "comp", "own", "major", "sketch")
-
-        def run(t: pa.Table) -> pa.Table:
-            none = pa.table({k: pa.array([], pa.int64()) for k in ("a", "an", "ac", "b", "bn", "bc")})
-            if t.num_rows < 2:
-                return none
-            rep, n, comp, own = (t[k].to_numpy() for k in ("rep", "n", "comp", "own"))
-            major, kind, i, j = t["major"].to_numpy(), t["kind"][0].as_py(), t["i"][0].as_py(), t["j"][0].as_py()
-            left = np.flatnonzero(major if kind == "d" else own == i)
-            right = np.flatnonzero(~major if kind == "d" else own == j)
-            column = t["sketch"].combine_chunks()
-            ends = column.offsets.to_numpy()
-            values = column.values.to_numpy()
-            of = lambda rows: (np.concatenate([values[ends[r] : ends[r + 1]] for r in rows]), np.repeat(np.arange(len(rows)), [ends[r + 1] - ends[r] for r in rows]))
-            if not len(left) or not len(right):
-                return none
-            (lv, lo), (rv, ro) = of(left), of(right)
-            both = np.intersect1d(lv, rv)
-            if not len(both):
-                return none
-
-            def matrix(v, o, rows):
-                k = np.searchsorted(both, v)
-                ok = both[np.minimum(k, len(both) - 1)] == v
-                x = np.zeros((rows, len(both)), np.float32)
-                x[o[ok], k[ok]] = 1
-                return x
-
-            common = (matrix(lv, lo, len(left)) @ matrix(rv, ro, len(right)).T).astype(int)
-            a, b = n[left][:, None], n[right][None, :]
-            need = np.where(np.maximum(a, b) <= K, -(-PERCENT * np.maximum(a, b) // 100), np.minimum(LEAST, -(-PERCENT * np.minimum(a, b) // 100)))
-            ok = (common >= need) & (100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b)) & (comp[left][:, None] != comp[right][None, :])
-            p, q = np.nonzero(ok)
-            if best and len(p):
-                order = np.argsort(-common[p, q], kind="stable")
-                p, q = p[order], q[order]
-                one = np.unique(np.stack([p, comp[right][q]]), axis=1, return_index=True)[1]
-                two = np.unique(np.stack([q, comp[left][p]]), axis=1, return_index=True)[1]
-                keep = np.union1d(one, two)
-                p, q = p[keep], q[keep]
-            p, q = left[p], right[q]
-            return pa.table({"a": rep[p], "an": n[p], "ac": comp[p], "b": rep[q], "bn": n[q], "bc": comp[q]})
-
-        return x.groupBy("v", "kind", "i", "j").applyInArrow(run, "a long, an long, ac long, b long, bn long, bc long")
+        x = x.withColumn("own", own).select("g", "rep", "n", "comp", "own", "major", F.explode(cells).alias("c")).select("g", "rep", "n", "comp", "own", "major", "c.kind", "c.i", "c.j")
+        sets = self.full_sets().toDF("s_rep", "vals")
+        x = x.join(sets, x["rep"] == sets["s_rep"]).select("g", "kind", "i", "j", "rep", "n", "comp", "own", "major", "vals")
+        return x.groupBy("g", "kind", "i", "j").applyInArrow(_compare, "u long, v long")
+
+    def full_sets(self) -> DataFrame:
+        """rep and its full set, for every representative in a list; made once."""
+        if self.sets is None:
+            members = self.lists.select("rep").distinct()
+            items = _items(self.docs, self.text)
+            own = items.join(members, items["doc_id"] == members["rep"], "left_semi")
+            self.sets = cut(own.mapInArrow(_full, "rep long, vals array<long>").dropDuplicates(["rep"]), "sets")
+        return self.sets
+
+    def join(self, links: DataFrame) -> None:
+        if links.head(1):
+            self.links = links if self.links is None else self.links.unionByName(links)
+            self.comps = connected_components(self.links)
 
     def check(self, pairs: DataFrame) -> None:
         """Estimates and verifies pairs in different components; links and components grow by what is confirmed."""
@@ -242,18 +295,12 @@ class _Search:
             links = links.unionByName(self.verified(doubtful))
         links = cut(links, "links")
         self.tested = seen.select("a", "b") if self.tested is None else self.tested.unionByName(seen.select("a", "b"))
-        if links.head(1):
-            self.links = links if self.links is None else self.links.unionByName(links)
-            self.comps = connected_components(self.links)
+        self.join(links)
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those pairs whose full sets are similar."""
-        if self.sets is None:
-            members = self.lists.select("rep").distinct()
-            items = _items(self.docs, self.text)
-            own = items.join(members, items["doc_id"] == members["rep"], "left_semi")
-            self.sets = cut(own.mapInArrow(_full, "rep long, values array<long>").dropDuplicates(["rep"]), "sets")
-        one, two = self.sets.toDF("ra", "sa"), self.sets.toDF("rb", "sb")
+        sets = self.full_sets()
+        one, two = sets.toDF("ra", "sa"), sets.toDF("rb", "sb")
         x = pairs.select("a", "b", "an", "bn").join(one, F.col("a") == one["ra"])
         x = x.join(two, x["b"] == two["rb"]).withColumn("i", F.size(F.array_intersect("sa", "sb")))
         return x.where(100 * F.col("i") >= PERCENT * (F.col("an") + F.col("bn") - F.col("i"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -263,10 +310,9 @@ class _Search:
         self.check(self.star(self.placed(), (0,)))
         placed = self.placed()
         self.check(self.small(placed).unionByName(self.star(placed, (1, 2), SMALL)))
-        for best in (True, False):
-            placed = self.placed()
-            if self.open_lists(placed).where(F.col("m") > SMALL).head(1):
-                self.check(self.blocks(placed, best))
+        placed = self.placed()
+        if self.open_lists(placed).where(F.col("m") > SMALL).head(1):
+            self.join(cut(self.blocks(placed), "links"))
         return self.comps
 
 
