@@ -7,6 +7,7 @@ import os
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 #: ASCII white space as the operators' contracts fix it: space and \x09-\x0D.
 SPACES = "[\\x20\\x09-\\x0D]+"
+BATCH_ROWS = 1000
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -53,11 +55,25 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextmanager
+def short_batches(spark: SparkSession, rows: int = BATCH_ROWS):
+    """Meanwhile Python workers get at most so many rows at once: documents are long, and a worker keeps the memory of
+    its largest batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(old)) if int(old) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def cut(df: DataFrame, what: str) -> DataFrame:
     """df as a table written to the shared folder and read back: later jobs neither recompute it nor
     depend on any executor's disk."""
     path = shared_path(df.sparkSession, what)
-    df.write.parquet(path)
+    with short_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
