@@ -2,7 +2,8 @@
 
 The word-level vocabulary drops white space, lower-cases and never joins what white space separates, so a
 text's ids are those of its white-space-separated words one after the other. Words are looked up in a cache
-of bounded size that lives as long as the Python worker; a missing word goes to the library. Two more steps
+of bounded size that lives as long as the Python worker; a missing word goes to the library, straight to its BPE
+model where it is one run of letters or of ASCII punctuation. Two more steps
 are taken only where they change nothing: ASCII capitals are lowered before the look-up, and a missing word is
 cut before a closing run of ASCII punctuation, where pre-tokenisation cuts anyway. A text with the opening
 "<|" of a special token is encoded as it is. Whether a tokenizer works this way is checked by its settings;
@@ -14,12 +15,18 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 
-CACHED = 600_000
+CACHED = 250_000
 END = 1
-_TAIL = re.compile(rb"(.*[a-z0-9])([!-&(-/:-@\[-`{-~]+)", re.S)
+_PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != ord("'"))
+#: Lower-case letters, ASCII and Latin-1, which normalisation leaves as they are.
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: Byte-level alphabets write a byte as the character of its number, or as one from 256 on where that isn't printable.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_ALPHABET = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 _coders: dict[str, Coder] = {}
 
 
@@ -49,23 +56,35 @@ class Coder(dict):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.tokenize = self.library.model.tokenize
         with open(path) as f:
             self.words = by_words(json.load(f))
         self.kind = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
         self.end = np.array([END], self.kind).tobytes()
 
     def plain(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
-        m = _TAIL.fullmatch(word)
-        if m:
-            return self[m[1]] + self[m[2]]
-        ids = self.plain(word.decode())
+        if word.isalpha() or _LETTERS.fullmatch(word):  # one pre-token
+            ids = self.bare(word)
+        else:
+            head = word.rstrip(_PUNCTUATION)
+            if not head:
+                ids = self.bare(word)
+            elif len(head) < len(word) and (head[-1:].isalnum() or _LETTERS.fullmatch(head)):
+                ids = self[head] + self[word[len(head) :]]
+            else:
+                ids = self.plain(word.decode())
         if len(self) < CACHED:
             self[word] = ids
         return ids
 
+    def bare(self, word: bytes) -> bytes:
+        """Ids of one pre-token, by the library's BPE model."""
+        return array(self.code, [x.id for x in self.tokenize(word.decode("latin-1").translate(_ALPHABET))]).tobytes()
+
     def encode(self, data: bytes) -> bytes:
         """Ids of a whole UTF-8 text, the end id last."""
         if not self.words or b"<|" in data:
