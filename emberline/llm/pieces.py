@@ -28,7 +28,7 @@ from emberline.llm.common import text_or_empty
 
 SPACE = "▁"
 UNKNOWN = 10
-CACHED = 500_000
+CACHED = 200_000
 _RUNS = re.compile(" +[^ ]*")
 _models: dict[str, Pieces] = {}
 
