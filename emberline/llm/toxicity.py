@@ -1,9 +1,9 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the presence of byte n-grams (ORDERS) of the lower-cased, white-space-folded text, hashed into
+Features are the presence of character n-grams (ORDERS) of the lower-cased, white-space-folded text, hashed into
 BUCKETS numbers. Over the training rows the documents with each number are counted by class in a grouped
-aggregation; r = log((n1 + a) / N1) - log((n0 + a) / N0) is its log-count ratio. The SELECTED numbers whose ratio is
-furthest from chance stay, scaled by r, and a logistic regression with an L2 penalty is fitted over them.
+aggregation; r = log((n1 + a) / N1) - log((n0 + a) / N0) is its log-count ratio. The numbers whose counts are
+furthest from chance stay (a G statistic of SELECT_AT or more, at most SELECTED, at least LEAST_SELECTED), scaled by r, and a logistic regression with an L2 penalty is fitted over them.
 
 The classifier is fitted on at most TRAIN_ROWS labelled rows, chosen by a hash of doc_id. Only the text of a
 document is an input of its score; held-out rows (crc32 of doc_id as text, mod 3, is 1) teach nothing.
@@ -27,23 +27,23 @@ from emberline.llm.common import cut, text_or_empty
 
 TRAIN_ROWS = 12_000
 BUCKETS = 1 << 20
-ORDERS = (4, 5)
-SELECTED = 8192
+ORDERS = (4, 6, 7)
+SELECTED, LEAST_SELECTED, SELECT_AT = 8192, 64, 16.0
 LEAST_DOCS = 3
 PREDICT_AT = 0.7
 CHUNK = 1 << 20
 
-_fold = np.arange(256, dtype=np.uint8)
-_fold[65:91] += 32
+_fold = np.arange(128, dtype=np.uint32)
 _fold[:33] = 32
 for _c in b".,;:!?\"'()[]":
     _fold[_c] = 32
 
 
-def numbers(data: bytes) -> np.ndarray:
+def numbers(text: str) -> np.ndarray:
     """Hashed n-grams of a text, repeats included; capitals, white space and common punctuation are folded."""
-    b = _fold[np.frombuffer(b" " + data + b" ", np.uint8)]
-    b = b[~((b == 32) & np.r_[False, b[:-1] == 32])].astype(np.uint32)
+    b = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    b = np.where(b < 128, _fold[np.minimum(b, 127)], b)
+    b = b[~((b == 32) & np.r_[False, b[:-1] == 32])]
     out = []
     for n in ORDERS:
         if len(b) >= n:
@@ -55,7 +55,7 @@ def numbers(data: bytes) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
-def presence(data: bytes) -> np.ndarray:
+def presence(data: str) -> np.ndarray:
     parts = [np.unique(numbers(data[at : at + CHUNK])) for at in range(0, len(data), CHUNK)]
     return parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint32)
 
@@ -70,6 +70,13 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(n[0, at]), pa.array(n[1, at])], names=["number", "n0", "n1"])
 
 
+def evidence(k1: np.ndarray, k0: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """The G statistic of a number's documents by class: chance alone gives about 1, rarely over 20."""
+    share = n1 / (n1 + n0)
+    part = lambda k, p: np.where(k > 0, k * np.log(np.maximum(k, 1) / ((k1 + k0) * p)), 0.0)
+    return 2 * (part(k1, share) + part(k0, 1 - share))
+
+
 @dataclass
 class Model:
     """table: number to position in weight, or -1."""
@@ -78,7 +85,7 @@ class Model:
     weight: np.ndarray
     bias: float
 
-    def score(self, data: bytes) -> float:
+    def score(self, data: str) -> float:
         found: np.ndarray | None = None
         for at in range(0, len(data), CHUNK):
             k = self.table[numbers(data[at : at + CHUNK])]
@@ -113,7 +120,7 @@ def held_out(doc_id):
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", rows: int = TRAIN_ROWS) -> Model:
     told = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).where(~held_out(F.col("doc_id")))
     few = told.groupBy(F.col("doc_id").cast("long").alias("f_id")).agg(F.max(label).cast("int").alias("label")).orderBy(F.xxhash64("f_id"), "f_id").limit(rows)
-    items = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(docs, text).cast("binary").alias("text"))
+    items = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(docs, text).alias("text"))
     # few is at most `rows` pairs of numbers: it may be broadcast
     sample = cut(items.join(F.broadcast(few), items["doc_id"] == few["f_id"]).select("doc_id", "label", "text"), "toxicity")
     sizes = dict(sample.groupBy("label").count().collect())
@@ -122,9 +129,11 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
     if not n0 or not n1:
         return none
     got = sample.select("label", "text").mapInArrow(_count, "number int, n0 long, n1 long").groupBy("number").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") + F.col("n1") >= LEAST_DOCS).toPandas()
-    a, b = got["n1"].to_numpy() + 0.5, got["n0"].to_numpy() + 0.5
-    r = np.log(a / (n1 + 1)) - np.log(b / (n0 + 1))
-    best = np.lexsort((got["number"].to_numpy(), -np.abs(r) / np.sqrt(1 / a + 1 / b)))[:SELECTED]
+    k1, k0 = got["n1"].to_numpy().astype(float), got["n0"].to_numpy().astype(float)
+    r = np.log((k1 + 0.5) / (n1 + 1)) - np.log((k0 + 0.5) / (n0 + 1))
+    surprise = evidence(k1, k0, n1, n0)
+    best = np.lexsort((got["number"].to_numpy(), -surprise))[:SELECTED]
+    best = best[: max(LEAST_SELECTED, int((surprise[best] >= SELECT_AT).sum()))]
     if not len(best):
         return none
     table = np.full(BUCKETS, -1, np.int32)
@@ -151,5 +160,5 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             s = np.array([shared.value.score(x) for x in batch.column(2).to_pylist()], float)
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= PREDICT_AT).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    items = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), text_or_empty(docs, text).cast("binary").alias("text"))
+    items = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), text_or_empty(docs, text).alias("text"))
     return items.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
