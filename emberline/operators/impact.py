@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from emberline.functions import fixed
 from emberline.functions.text import lookup
+from emberline.operators.ranking import global_rank
 from emberline.sources.lineage import cut
 
 
@@ -57,8 +58,8 @@ def path_reasons(edges: DataFrame, seeds: DataFrame, levels: int = 64) -> DataFr
         first = F.min(F.struct("f_place", (F.col("kind") == "contains").alias("last"), (-F.col("w")).alias("w"), F.col("to").alias("t"), "pos", told.alias("told"))).alias("m")
         new = x.groupBy(F.col("to").alias("node")).agg(first)
         # a place that keeps the order of discovery: the parent's order, then the edge's
-        place = F.dense_rank().over(Window.orderBy("m.f_place", "m.last", "m.w", "node")).cast("long")
-        frontier = cut(new.select("node", place.alias("place"), F.lit(level).alias("level"), F.col("m.told").alias("reasons")), f"bfs-{level}")
+        met = new.select("node", F.col("m.f_place").alias("f_place"), F.col("m.last").alias("last"), F.col("m.w").alias("w"), F.col("m.told").alias("reasons"))
+        frontier = cut(global_rank(met, "f_place", "last", "w", "node").select("node", F.col("rank").alias("place"), F.lit(level).alias("level"), "reasons"), f"bfs-{level}")
         if not frontier.head(1):
             break
         seen = seen.unionByName(frontier)

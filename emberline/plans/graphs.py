@@ -370,7 +370,7 @@ def d13_triangle_density(spark, sf):
 CLIQUES = [(a, b, 1.0) for k in (0, 5) for a in range(k, k + 5) for b in range(a + 1, k + 5)] + [(4, 5, 0.05)]
 
 
-@query(values("seed BIGINT, members VARCHAR", [(5, "4,5,6,7,8,9"), (0, "0,1,2,3")]))
+@query(values("seed BIGINT, place BIGINT, member BIGINT", [(0, 0, 0), (0, 1, 1), (0, 2, 2), (0, 3, 3), (0, 4, 4), (6, 0, 6), (6, 1, 7), (6, 2, 8), (6, 3, 9), (6, 4, 5)]))
 def g8_regions(spark, sf):
     """Regions of two five-cliques joined by a weak edge."""
     edges = spark.createDataFrame([(k, a, b, "invokes", w) for k, (a, b, w) in enumerate(CLIQUES)], "pos long, a long, b long, kind string, w double")

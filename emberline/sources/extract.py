@@ -104,8 +104,9 @@ def _python(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for file, text in zip(batch["file"], batch["text"], strict=True):
+            text = text or ""
             try:
-                tree = ast.parse(text or "")
+                tree = ast.parse(text)
             except (SyntaxError, ValueError, RecursionError):
                 continue
             source = text.split("\n")
