@@ -32,7 +32,7 @@ GRAMS = 1 << 16
 TEMPER = 0.3
 KAPPA = 20.0
 #: Rejected below this posterior probability.
-ACCEPT_AT = 0.6
+ACCEPT_AT = 0.4
 CHUNK = 1 << 20
 SALTS = 64
 
