@@ -254,3 +254,42 @@ def s1_windowed_events(spark, sf):
     return hourly_batch(table(spark, sf, "events"))
 
 
+
+
+GIT_STATUS = [(" M", "src/a.ts", False), ("??", "src/new.ts", False), ("A ", "src/b.go", False), ("zz", "src/odd", True)]
+
+
+@query(values("code VARCHAR, file VARCHAR, odd BOOLEAN", GIT_STATUS))
+def a18_git_status(spark, sf):
+    from emberline.sources import git
+
+    return git.status(spark.createDataFrame([("\x00".join(f"{c} {f}" for c, f, _ in GIT_STATUS) + "\x00",)], "text string"))
+
+
+@query(values("commit VARCHAR, file VARCHAR, seconds BIGINT", [("h1", "a.ts", 1700000000), ("h1", "b.ts", 1700000000), ("h2", "a.ts", 1700000100)]))
+def a18_git_log(spark, sf):
+    from emberline.sources import git
+
+    lines = ["h1\x001700000000", "1\t2\ta.ts", "3\t4\tb.ts", "", "h2\x001700000100", "1\t0\ta.ts"]
+    return git.log(spark.createDataFrame(list(enumerate(lines)), "n long, line string")).select("commit", "file", F.unix_timestamp("ts").alias("seconds"))
+
+
+@query("SELECT o_orderkey, o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0 AS same FROM orders")
+def a5_stat_manifest(spark, sf):
+    """Files are the same if their sizes are and their times differ by less than a microsecond."""
+    from emberline.sources.files import same_stat
+
+    i = F.col("o_orderkey")
+    return table(spark, sf, "orders").select("o_orderkey", same_stat(i, F.lit(1.0), i + i % 2, 1.0 + F.when(i % 3 == 0, 1e-3).otherwise(1e-9)).alias("same"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'kept' ELSE 'anew' END AS how FROM documents WHERE doc_id % 4 <> 3")
+def h2_changed_rules(spark, sf):
+    """Routes are taken again from files whose text is unchanged if the rules have changed; here two of three files."""
+    from emberline.sources.files import refresh
+
+    d = table(spark, sf, "documents").select("doc_id", F.col("doc_id").cast("string").alias("file"), F.sha1("text").alias("text_sha"), "text")
+    key = lambda rules: F.concat_ws(":", "text_sha", rules)
+    cached = d.select("file", key(F.lit("r1")).alias("sha"), F.lit("kept").alias("how"))
+    current = d.where("doc_id % 4 <> 3").select("file", key(F.when(F.col("doc_id") % 3 == 0, "r1").otherwise("r2")).alias("sha"), "text")
+    return refresh(cached, current, lambda x: x.select("file", "sha", F.lit("anew").alias("how"))).select(F.col("file").cast("long").alias("doc_id"), "how")

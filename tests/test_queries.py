@@ -16,7 +16,7 @@ def test_query(spark, check_rows, name):
         assert df.collect()
 
 
-def test_entry(spark):
+def test_flagship(spark):
     import __spark_entry__
 
     rows = __spark_entry__.entry(spark)
