@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm.common import cut, text_or_empty
@@ -28,7 +28,7 @@ from emberline.llm.common import cut, text_or_empty
 TRAIN_ROWS = 12_000
 BUCKETS = 1 << 20
 ORDERS = (4, 6, 7)
-SELECTED, LEAST_SELECTED, SELECT_AT = 8192, 64, 16.0
+SELECTED, LEAST_SELECTED, SELECT_AT = 2048, 64, 16.0
 LEAST_DOCS = 3
 PREDICT_AT = 0.7
 CHUNK = 1 << 20
@@ -70,10 +70,10 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(n[0, at]), pa.array(n[1, at])], names=["number", "n0", "n1"])
 
 
-def evidence(k1: np.ndarray, k0: np.ndarray, n1: int, n0: int) -> np.ndarray:
+def evidence(k1: Column, k0: Column, n1: int, n0: int) -> Column:
     """The G statistic of a number's documents by class: chance alone gives about 1, rarely over 20."""
     share = n1 / (n1 + n0)
-    part = lambda k, p: np.where(k > 0, k * np.log(np.maximum(k, 1) / ((k1 + k0) * p)), 0.0)
+    part = lambda k, p: F.when(k > 0, k * F.log(k / ((k1 + k0) * p))).otherwise(0.0)
     return 2 * (part(k1, share) + part(k0, 1 - share))
 
 
@@ -98,8 +98,8 @@ class Model:
 def regress(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, l2: float = 1e-4, steps: int = 250, rate: float = 0.1) -> tuple[np.ndarray, float]:
     """Weights (scale included) and bias of a logistic regression; rows hold each row's features. Adam on all rows."""
     sizes = np.array([len(r) for r in rows])
-    flat = np.concatenate(rows).astype(np.int64)
-    owner = np.repeat(np.arange(len(rows)), sizes)
+    flat = np.concatenate(rows).astype(np.int32)
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
     bias = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
     w = np.zeros(len(scale) + 1)
     m, v = np.zeros_like(w), np.zeros_like(w)
@@ -128,16 +128,15 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
     none = Model(np.full(BUCKETS, -1, np.int32), np.zeros(0), float(np.log((n1 + 1) / (n0 + 1))))
     if not n0 or not n1:
         return none
-    got = sample.select("label", "text").mapInArrow(_count, "number int, n0 long, n1 long").groupBy("number").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") + F.col("n1") >= LEAST_DOCS).toPandas()
-    k1, k0 = got["n1"].to_numpy().astype(float), got["n0"].to_numpy().astype(float)
-    r = np.log((k1 + 0.5) / (n1 + 1)) - np.log((k0 + 0.5) / (n0 + 1))
-    surprise = evidence(k1, k0, n1, n0)
-    best = np.lexsort((got["number"].to_numpy(), -surprise))[:SELECTED]
-    best = best[: max(LEAST_SELECTED, int((surprise[best] >= SELECT_AT).sum()))]
+    counted = sample.select("label", "text").mapInArrow(_count, "number int, n0 long, n1 long").groupBy("number").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") + F.col("n1") >= LEAST_DOCS)
+    # SELECTED rows of four numbers
+    got = counted.withColumn("g", evidence(F.col("n1"), F.col("n0"), n1, n0)).orderBy(F.desc(F.round("g", 6)), "number").limit(SELECTED).toPandas()
+    best = got[: max(LEAST_SELECTED, int((got["g"] >= SELECT_AT).sum()))]
+    r = np.log((best["n1"].to_numpy() + 0.5) / (n1 + 1)) - np.log((best["n0"].to_numpy() + 0.5) / (n0 + 1))
     if not len(best):
         return none
     table = np.full(BUCKETS, -1, np.int32)
-    table[got["number"].to_numpy()[best]] = np.arange(len(best))
+    table[best["number"].to_numpy()] = np.arange(len(best))
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def chosen(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
 
     # at most `rows` rows (and repeats of theirs) of at most SELECTED small numbers
     data = sample.select("label", "text", "doc_id").mapInArrow(chosen, "label int, found binary, doc_id long").orderBy(F.xxhash64("doc_id"), "found").limit(rows).toPandas()
-    weight, bias = regress([np.frombuffer(x, "<i2") for x in data["found"]], data["label"].to_numpy().astype(float), r[best])
+    weight, bias = regress([np.frombuffer(x, "<i2") for x in data["found"]], data["label"].to_numpy().astype(float), r)
     return Model(table, weight, bias)
 
 
