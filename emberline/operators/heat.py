@@ -42,15 +42,17 @@ def multiply(m: DataFrame, x: DataFrame) -> DataFrame:
 
 
 def _kernel(order: int, weights: list[float] | None):
-    """One task: rows (i, j, m), seeds as rows (i, null, v). The field, or all orders if there are no weights."""
+    """One task: entries (i, j, w) of the adjacency, seeds as rows (i, null, v). The field, or all orders if there are no weights."""
 
     def run(batches):
         table = pa.Table.from_batches(list(batches))
-        i, v = table["i"].to_numpy(), table["m"].to_numpy()
+        i, v = table["i"].to_numpy(), table["w"].to_numpy()
         seed = np.asarray(table["j"].is_null())
         j = table["j"].fill_null(0).to_numpy()
         nodes = np.unique(np.concatenate([i, j[~seed]])) if len(i) else np.zeros(0, np.int64)
         row, col, w = np.searchsorted(nodes, i[~seed]), np.searchsorted(nodes, j[~seed]), v[~seed]
+        degree = np.bincount(row, w, len(nodes))
+        w = -w / np.sqrt(degree[row] * degree[col])
         last = np.bincount(np.searchsorted(nodes, i[seed]), v[seed], len(nodes)).astype(float)
         product = lambda x: np.bincount(row, w * x[col], len(nodes))
         now = product(last)
@@ -72,8 +74,8 @@ def _kernel(order: int, weights: list[float] | None):
 
 
 def _one_task(adj: DataFrame, seeds: DataFrame) -> DataFrame:
-    rows = scaled(adj).unionByName(seeds.select(F.col("i").cast("long").alias("i"), F.lit(None).cast("long").alias("j"), F.col("v").cast("double").alias("m")))
-    return rows.select(F.col("i").cast("long"), F.col("j").cast("long"), "m").repartition(1)
+    rows = adj.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("w").cast("double").alias("w"))
+    return rows.unionByName(seeds.select(F.col("i").cast("long").alias("i"), F.lit(None).cast("long").alias("j"), F.col("v").cast("double").alias("w"))).repartition(1)
 
 
 def _is_small(adj: DataFrame, limit: int) -> bool:
@@ -82,6 +84,7 @@ def _is_small(adj: DataFrame, limit: int) -> bool:
 
 def chebyshev(adj: DataFrame, seeds: DataFrame, order: int, kernel_entries: int = KERNEL_ENTRIES) -> DataFrame:
     """k, i, v: the vectors T_k(M) s, k = 0..order. seeds: i, v."""
+    adj = cut(adj, "adjacency")
     if _is_small(adj, kernel_entries):
         return _one_task(adj, seeds).mapInArrow(_kernel(order, None), "k int, i long, v double")
     m = cut(scaled(adj), "heat-matrix")
@@ -110,6 +113,7 @@ def retime(vectors: DataFrame, t: float, order: int) -> DataFrame:
 def heat_field(adj: DataFrame, seeds: DataFrame, t: float, order: int | None = None, kernel_entries: int = KERNEL_ENTRIES) -> DataFrame:
     """i, v: the heat at time t of seeds (i, v)."""
     order = choose_order(t) if order is None else order
+    adj = cut(adj, "adjacency")
     if _is_small(adj, kernel_entries):
         return _one_task(adj, seeds).mapInArrow(_kernel(order, [coefficient(k, t) for k in range(order + 1)]), "i long, v double")
     return retime(chebyshev(adj, seeds, order, kernel_entries), t, order)

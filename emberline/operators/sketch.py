@@ -40,11 +40,11 @@ def sketch(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """label, mass, detail of all groups."""
     adj = cut(heat.adjacency(edges), "adjacency")
     degree = heat.degrees(adj)
-    near = basins.neighbours(edges)
+    near = cut(basins.neighbours(edges), "near")
     place = nodes.select(F.col("i").alias("n_i"), "file", "name", "kind")
     reach = near.select("i", "j").unionByName(nodes.select("i", F.col("i").alias("j")))
     anchors = nodes.where("kind = 'anchor'").select(F.col("i").alias("a_i"), F.col("name").alias("a_name"), F.concat_ws(":", "file", F.col("line").cast("string")).alias("at"))
-    closure = reach.join(anchors, reach["i"] == anchors["a_i"]).join(place, F.col("j") == F.col("n_i"))
+    closure = cut(reach.join(anchors, reach["i"] == anchors["a_i"]).join(place, F.col("j") == F.col("n_i")), "closure")
     production = closure.groupBy("i").agg(F.bool_or(~is_test_scope(F.col("file"))).alias("shipped"))
     routes = production.where("shipped").select("i")
     seeds = opening_seeds(nodes, degree, routes)
