@@ -1,9 +1,9 @@
 """Results depend on these, so they are stated as they must be."""
 
-# Directories and lock files that are never listed.
+# Directories and lock files that are never listed, and this engine's own folder.
 IGNORED_DIRS = (
     ".git", "node_modules", "dist", "vendor", ".venv", "venv", "target", "coverage", ".next", "build",
-    "__pycache__", ".pi", ".pi-fovea", "deps", "_build", ".tox", "Pods", ".cargo",
+    "__pycache__", ".emberline", "deps", "_build", ".tox", "Pods", ".cargo",
 )
 LOCK_FILES = (
     "package-lock.json", "pnpm-lock.yaml", "yarn.lock", "bun.lock", "bun.lockb", "pipfile.lock",
