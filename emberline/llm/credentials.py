@@ -2,11 +2,12 @@
 
 Base spans (assign, access, hex) are fixed patterns. The linking method adds spans of weak candidates,
 which say nothing alone: an identifier (access key id, client id, user name), a secret (a mixed token, a
-short pass phrase) and an endpoint (address with scheme, host with port). Within a scope, a block of text
-between blank lines, the intervals of identifiers and secrets, widened by WINDOW code points, are joined;
-a weak candidate is reported only where its complement lies in its interval, and an endpoint only
-beside such a linked pair. The join runs over each document's sorted intervals inside the scan, since no
-scope crosses documents: nothing is shuffled, and no pair is emitted.
+short pass phrase) and an endpoint (address with scheme, host with port). They are joined by scope, a block of
+text between blank lines: a secret and an identifier in one scope are reported, so are a secret and an
+endpoint, and whatever else of the scope complements a secret. Parts that overlap don't complement each other, and a secret inside
+an address is no complement of addresses. Only within one line of running text are parts kept apart: where over WINDOW code points
+lie between neighbours, be they parts or settings (name = value). The join runs over each document's sorted intervals inside the scan,
+since no scope crosses documents: nothing is shuffled, and no pair is emitted.
 
 Defined cases: null text is the empty text and has no spans; repeated rows are scanned each; whole texts
 of any length are scanned; spans are in code points, end exclusive.
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from math import log2
@@ -44,6 +45,7 @@ ID_WORDS = ("client", "access", "account", "user", "login")
 TOKEN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 PHRASE = re.compile(r"""(?ai)(?:pass(?:word|wd|phrase)?|pwd|pin|key)["']?\x20*[:=]\x20*["']?[^\s"']{3,}""")
 ENDPOINT = re.compile(r"[A-Za-z][A-Za-z0-9+]{1,12}://[^\s\"'<>]{3,}|\b(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}:\d{2,5}\b")
+SETTING = re.compile(r"""(?a)[A-Za-z][\w.-]*["']?\x20*[:=]\x20*["']?[^\s"']""")
 SCOPE_END = re.compile(r"\n[ \t\r]*\n")
 
 
@@ -66,10 +68,27 @@ def _mixed(token: str) -> bool:
     return -sum(k / n * log2(k / n) for k in Counter(token).values()) >= 3.0
 
 
-def _near(starts: list[int], longest: int, spans: list[tuple[int, int]], at: tuple[int, int]) -> bool:
-    """Whether a span other than at lies within WINDOW of it; spans sorted by start, none over longest."""
-    lo, hi = bisect_left(starts, at[0] - WINDOW - longest), bisect_right(starts, at[1] + WINDOW)
-    return any(e >= at[0] - WINDOW and (e <= at[0] or s >= at[1]) for s, e in spans[lo:hi])
+class _Parts:
+    """The spans of one kind, by scope, by line, and by stretch of a line: the least end and greatest start of each."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]], places) -> None:
+        self.spans = sorted(set(spans))
+        self.at: dict[tuple, tuple[int, int]] = {}
+        self.lines: dict[int, tuple[int, int]] = {}
+        for s, e in self.spans:
+            scope, line, _ = place = places((s, e))
+            lo, hi = self.at.get(place, (e, s))
+            self.at[place] = min(lo, e), max(hi, s)
+            first, last = self.lines.get(scope, (line, line))
+            self.lines[scope] = min(first, line), max(last, line)
+
+    def beside(self, span: tuple[int, int], place: tuple[int, int, int]) -> bool:
+        """Whether one of these is on another line of the span's scope, or in its stretch of the line and not over it."""
+        scope, line, _ = place
+        if scope in self.lines and self.lines[scope] != (line, line):
+            return True
+        lo, hi = self.at.get(place, (span[1], span[0]))
+        return lo <= span[0] or hi >= span[1]
 
 
 def linked_spans(text: str) -> list[tuple[int, int, str]]:
@@ -78,30 +97,33 @@ def linked_spans(text: str) -> list[tuple[int, int, str]]:
     has_words = any(w in low for w in ID_WORDS)
     ids = [m.span() for m in OWN_ID.finditer(text)] if re.search("AKIA|ASIA|AROA|AIDA", text) else []
     ids += [m.span() for m in IDENTIFIER.finditer(text)] if has_words else []
-    if not ids:
+    points = sorted(m.span() for m in ENDPOINT.finditer(text)) if ":" in text else []
+    if not ids and not points:
         return []
     ends = [m.end() for m in SCOPE_END.finditer(text)]
     scope = lambda span: bisect_right(ends, span[0])
-    held = {scope(x) for x in ids}
+    held = {scope(x) for x in ids + points}
     own = lambda found: [x for x in found if scope(x) in held]
     secrets = own(m.span() for m in TOKEN.finditer(text) if _mixed(m[0]) and not OWN_ID.fullmatch(m[0])) + own(m.span() for m in PHRASE.finditer(text))
     if not secrets:
         return []
-    points = own(m.span() for m in ENDPOINT.finditer(text)) if ":" in text else []
-
-    def parts(spans):
-        by: dict[int, list] = {}
-        for x in sorted(set(spans)):
-            by.setdefault(scope(x), []).append(x)
-        return {k: ([s for s, _ in v], max(e - s for s, e in v), v) for k, v in by.items()}
-
-    by_id, by_secret = parts(ids), parts(secrets)
-    out = [(*x, "identifier") for k, (_, _, v) in by_id.items() if k in by_secret for x in v if _near(*by_secret[k], x)]
-    out += [(*x, "secret") for k, (_, _, v) in by_secret.items() if k in by_id for x in v if _near(*by_id[k], x)]
-    if out and points:
-        pairs = parts((s, e) for s, e, _ in out)
-        out += [(*x, "endpoint") for x in sorted(set(points)) if scope(x) in pairs and _near(*pairs[scope(x)], x)]
-    return out
+    breaks = [m.start() for m in re.finditer("\n", text)]
+    gaps, until = [], 0
+    for s, e in sorted({*ids, *secrets, *points, *(m.span() for m in SETTING.finditer(text))}):
+        if s - until > WINDOW:
+            gaps.append(s)
+        until = max(until, e)
+    places = lambda span: (scope(span), bisect_right(breaks, span[0]), bisect_right(gaps, span[0]))
+    inside = lambda span: (k := bisect_right(points, (span[0], len(text)))) > 0 and points[k - 1][1] > span[0]
+
+    by_id, by_point = _Parts(ids, places), _Parts(points, places)
+    by_secret = _Parts(secrets, places)
+    free = _Parts((x for x in by_secret.spans if not inside(x)), places)
+    named = [x for x in by_id.spans if by_secret.beside(x, places(x))]
+    told = [x for x in by_secret.spans if by_id.beside(x, p := places(x)) or (not inside(x) and by_point.beside(x, p))]
+    pairs = _Parts((x for x in [*named, *told] if not inside(x)), places)
+    reached = [x for x in by_point.spans if free.beside(x, p := places(x)) or pairs.beside(x, p)]
+    return [(*x, k) for k, found in (("identifier", named), ("secret", told), ("endpoint", reached)) for x in found]
 
 
 def scan(text: str) -> tuple[list, list]:
