@@ -7,7 +7,8 @@ log P(language | item) is the sum of
  - the address suffix: P(suffix | language), counted over all items;
  - the host: P(language | host), smoothed towards its domain, that towards all items (KAPPA rows each).
 The tables are grouped aggregations over every item, labelled by text alone. What belongs to hosts grows with
-the data and is joined by host, never broadcast; the text models are fitted on at most TRAIN_ROWS rows.
+the data and is joined by host, never broadcast; the text models are fitted on about LANGUAGE_ROWS rows of each
+declared language, however rare it is beside the others.
 
 Defined cases: an item without letters (null and empty texts too) has language "und" and is rejected; missing
 declared languages, suffixes and hosts are no evidence; without any declared language to learn from all items
@@ -20,15 +21,19 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm.common import cut
 
-TRAIN_ROWS = 4_000
-#: A language counts if at least this share of the training rows declares it.
-LEAST_SHARE = 0.005
+#: About so many rows of each declared language are learned from, all of a rarer one.
+LANGUAGE_ROWS = 1_000
 GRAMS = 1 << 16
+#: Of each language's model, this share is spread over all grams: what a model hasn't seen costs the same in each.
+SPREAD = 0.02
+#: Gram tables of so many languages are held by a task, matrices of so many numbers are gathered at once.
+HELD, GATHERED = 64, 1 << 22
 TEMPER = 0.3
 KAPPA = 20.0
 #: Rejected below this posterior probability.
@@ -60,31 +65,43 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     by: dict[str, np.ndarray] = {}
     for batch in batches:
         for lang, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if lang not in by and len(by) >= HELD:
+                yield from _flushed(by)
+                by.clear()
             held = by.setdefault(lang, np.zeros(GRAMS, np.int64))
             for at in range(0, len(data), CHUNK):
                 held += np.bincount(grams(data[at : at + CHUNK]), minlength=GRAMS)
+    yield from _flushed(by)
+
+
+def _flushed(by: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
     for lang, n in by.items():
         at = np.flatnonzero(n)
         yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["lang", "gram", "n"])
 
 
-def fit(items: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages and their gram weights (GRAMS x languages, float32) from at most `rows` items.
+def fit(items: DataFrame, rows: int = LANGUAGE_ROWS) -> tuple[list[str], np.ndarray]:
+    """Languages and their gram weights (GRAMS x languages, float32) from about `rows` items of each declared language.
     items: id, text (binary), declared."""
     told = items.where("declared is not null and id is not null").groupBy("id").agg(F.min("declared").alias("lang"))
-    few = told.orderBy(F.xxhash64("id"), "id").limit(rows).withColumnRenamed("id", "f_id")
-    # few has at most `rows` short rows: its size is bounded, so it may be broadcast
+    sizes = told.groupBy("lang").agg(F.count("*").alias("n")).withColumnRenamed("lang", "s_lang")
+    # sizes has a row for each language, few about `rows` short rows for each: they may be broadcast
+    few = told.join(F.broadcast(sizes), F.col("lang") == F.col("s_lang")).where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) * F.col("n") < F.lit(rows << 30)).select(F.col("id").alias("f_id"), "lang")
     counted = items.join(F.broadcast(few), items["id"] == few["f_id"]).select("lang", "text").mapInArrow(_count, "lang string, gram int, n long")
-    got = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    shares = dict(few.groupBy("lang").count().collect())
-    total = sum(shares.values())
-    langs = sorted(k for k in set(got["lang"]) if shares.get(k, 0) >= LEAST_SHARE * total)
-    n = np.zeros((GRAMS, len(langs)))
-    for k, lang in enumerate(langs):
-        own = got[got["lang"] == lang]
-        n[own["gram"].to_numpy(), k] = own["n"].to_numpy()
-    n += 0.5
-    return langs, np.log(n / n.sum(0)).astype(np.float32) if langs else n.astype(np.float32)
+    got = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow().combine_chunks()
+    # at most GRAMS rows for each language
+    tag = pc.dictionary_encode(got["lang"].combine_chunks())
+    of, gram, count = tag.indices.to_numpy(), got["gram"].to_numpy(), got["n"].to_numpy()
+    order = np.argsort(of, kind="stable")
+    ends = np.searchsorted(of[order], np.arange(len(tag.dictionary) + 1))
+    names = tag.dictionary.to_pylist()
+    langs, columns = sorted(names), []
+    for lang in langs:
+        own = order[ends[k := names.index(lang)] : ends[k + 1]]
+        n = np.zeros(GRAMS)
+        n[gram[own]] = count[own]
+        columns.append(np.log((1 - SPREAD) * n / n.sum() + SPREAD / GRAMS).astype(np.float32))
+    return langs, np.stack(columns, 1) if langs else np.zeros((GRAMS, 0), np.float32)
 
 
 def _text_scores(items: DataFrame, langs: list[str], weights: np.ndarray) -> DataFrame:
@@ -92,6 +109,7 @@ def _text_scores(items: DataFrame, langs: list[str], weights: np.ndarray) -> Dat
     shared = items.sparkSession.sparkContext.broadcast(weights)
     names = [c for c in items.columns if c != "text"]
     at, k = items.columns.index("text"), len(langs)
+    step = max(1024, GATHERED // max(k, 1))
 
     def run(batches):
         w = shared.value
@@ -101,7 +119,8 @@ def _text_scores(items: DataFrame, langs: list[str], weights: np.ndarray) -> Dat
                 for s in range(0, len(data), CHUNK):
                     g = grams(data[s : s + CHUNK])
                     n[r] += len(g)
-                    lls[r] += w[g].sum(0, dtype=np.float64)
+                    for at_gram in range(0, len(g), step):
+                        lls[r] += w[g[at_gram : at_gram + step]].sum(0, dtype=np.float64)
             ll = pa.ListArray.from_arrays(pa.array(np.arange(0, k * batch.num_rows + 1, k or 1, dtype=np.int32) if k else np.zeros(batch.num_rows + 1, np.int32)), pa.array(lls.ravel()))
             yield pa.record_batch([*(c for i, c in enumerate(batch.columns) if i != at), pa.array(n), ll], names=[*names, "grams", "text_ll"])
 
@@ -130,7 +149,9 @@ def identify(items: DataFrame, model: tuple[list[str], np.ndarray] | None = None
     told = {r[0]: np.array(r[1:], float) for r in votes.select(known.alias("d"), "vote").where("d is not null").groupBy("d").agg(*counts()).collect()}
     declared_ll = {d: np.log((n + 0.5) / (total + 0.5 * (k + 1))) for d, n in told.items()}
     flat = F.array(*(F.lit(0.0) for _ in range(k)))
-    declared = F.coalesce(*(F.when(known == d, F.array(*(F.lit(float(x)) for x in v))) for d, v in declared_ll.items()), flat)
+    # a row for each language and one for all others
+    tags = F.broadcast(items.sparkSession.createDataFrame([(d, v.tolist()) for d, v in declared_ll.items()], "d_tag string, d_ll array<double>"))
+    declared = F.coalesce("d_ll", flat)
 
     # what belongs to hosts: tables by host, as large as there are hosts
     smooth = lambda own, above: F.transform(F.arrays_zip(own.alias("o"), above.alias("u")), lambda z: (z["o"] + KAPPA * z["u"]) / (F.aggregate(own, F.lit(0.0), lambda a, x: a + x) + KAPPA))
@@ -151,7 +172,7 @@ def identify(items: DataFrame, model: tuple[list[str], np.ndarray] | None = None
     # a host may hold a third of all rows: its rows go to SALTS tasks, each with a copy of the host's own row
     salted = by_host.withColumn("h_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     voted = voted.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    joined = voted.join(salted, (voted["host"] == salted["h_host"]) & (voted["salt"] == salted["h_salt"]), "left")
+    joined = voted.join(salted, (voted["host"] == salted["h_host"]) & (voted["salt"] == salted["h_salt"]), "left").join(tags, known == F.col("d_tag"), "left")
     host_ll = F.transform(F.coalesce("p", above), lambda x: F.log(x))
     zipped = F.arrays_zip(F.col("text_ll").alias("t"), declared.alias("d"), host_ll.alias("h"), F.coalesce("s_ll", flat).alias("s"))
     fused = joined.withColumn("fused", F.transform(zipped, lambda z: TEMPER * z["t"] + z["d"] + z["h"] + z["s"]))

@@ -158,6 +158,19 @@ def test_host_priors_are_smoothed_towards_their_domain(spark):
     assert (got[200].lang, got[201].lang) == ("en", "de") and got[200].kept
 
 
+def test_rare_languages_are_learned(spark):
+    rng = random.Random(5)
+    words = {}
+    for k in range(12):
+        letters = rng.sample("abcdefghijklmnopqrstuvwxyz", 9)
+        words["qa" + chr(97 + k)] = ["".join(rng.choices(letters, k=rng.randrange(2, 8))) for _ in range(60)]
+    say = lambda lang: " ".join(rng.choices(words[lang], k=60)).encode()
+    langs = ["qaa"] * 3000 + [x for x in words if x != "qaa"] * 8
+    rows = [(k, say(x), x, None, None, "h") for k, x in enumerate(langs)]
+    got = langid.identify(spark.createDataFrame(rows, "id long, text binary, declared string, suffix string, domain string, host string")).collect()
+    assert len(got) == len(langs) and all(r.lang == r.text_lang == langs[r.id] and r.kept for r in got)
+
+
 # pieces -----------------------------------------------------------------------------------------------------------
 def slow_viterbi(model, text):
     by = {p: s for p, (_, s, _) in ((k, model.automaton.get(k)) for k in model.automaton)}
