@@ -10,6 +10,10 @@ The tables are grouped aggregations over every item, labelled by text alone. Wha
 the data and is joined by host, never broadcast; the text models are fitted on about LANGUAGE_ROWS rows of each
 declared language, however rare it is beside the others.
 
+An item is rejected if its posterior is below ACCEPT_AT or if its text fits no language: its log-likelihood a gram
+is then far below what texts of each language have, however few languages there are. Such items have language
+"und" and aren't counted in the tables; texts of under SHORT grams are left to the other evidence.
+
 Defined cases: an item without letters (null and empty texts too) has language "und" and is rejected; missing
 declared languages, suffixes and hosts are no evidence; without any declared language to learn from all items
 are "und"; repeated rows are decided each; an empty table gives an empty result.
@@ -38,6 +42,8 @@ TEMPER = 0.3
 KAPPA = 20.0
 #: Rejected below this posterior probability.
 ACCEPT_AT = 0.4
+#: A text of SHORT grams or more fits a language whose own texts' mean log-likelihood a gram it misses by at most DROP, and SLACK standard errors.
+SHORT, DROP, SLACK = 20, 2.0, 6.0
 CHUNK = 1 << 20
 SALTS = 64
 
@@ -80,8 +86,9 @@ def _flushed(by: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["lang", "gram", "n"])
 
 
-def fit(items: DataFrame, rows: int = LANGUAGE_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages and their gram weights (GRAMS x languages, float32) from about `rows` items of each declared language.
+def fit(items: DataFrame, rows: int = LANGUAGE_ROWS) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages, their gram weights (GRAMS x languages, float32), and what a fitting text has to reach (2 x languages: log-likelihood
+    a gram, and the part of it that goes with one over the root of its grams), from about `rows` items of each declared language.
     items: id, text (binary), declared."""
     told = items.where("declared is not null and id is not null").groupBy("id").agg(F.min("declared").alias("lang"))
     sizes = told.groupBy("lang").agg(F.count("*").alias("n")).withColumnRenamed("lang", "s_lang")
@@ -95,17 +102,23 @@ def fit(items: DataFrame, rows: int = LANGUAGE_ROWS) -> tuple[list[str], np.ndar
     order = np.argsort(of, kind="stable")
     ends = np.searchsorted(of[order], np.arange(len(tag.dictionary) + 1))
     names = tag.dictionary.to_pylist()
-    langs, columns = sorted(names), []
+    learned = dict(few.groupBy("lang").count().collect())
+    langs, columns, least = sorted(names), [], []
     for lang in langs:
         own = order[ends[k := names.index(lang)] : ends[k + 1]]
         n = np.zeros(GRAMS)
         n[gram[own]] = count[own]
         columns.append(np.log((1 - SPREAD) * n / n.sum() + SPREAD / GRAMS).astype(np.float32))
-    return langs, np.stack(columns, 1) if langs else np.zeros((GRAMS, 0), np.float32)
+        # each gram's log-likelihood by all others; few rows say little of what else the language has
+        others = np.log((1 - SPREAD) * np.maximum(n - 1, 0) / max(n.sum() - 1, 1) + SPREAD / GRAMS)
+        mean = (n * others).sum() / n.sum()
+        slack = SLACK * max(1.0, np.sqrt((n * (others - mean) ** 2).sum() / n.sum()))
+        least.append((mean - DROP - slack / np.sqrt(learned[lang]), -slack))
+    return (langs, np.stack(columns, 1), np.array(least).T) if langs else (langs, np.zeros((GRAMS, 0), np.float32), np.zeros((2, 0)))
 
 
-def _text_scores(items: DataFrame, langs: list[str], weights: np.ndarray) -> DataFrame:
-    """items without text, with grams (long) and text_ll (array of double by language)."""
+def _text_scores(items: DataFrame, langs: list[str], weights: np.ndarray, least: np.ndarray) -> DataFrame:
+    """items without text, with grams (long), fits (whether the text may be of any of the languages) and text_ll (array of double by language)."""
     shared = items.sparkSession.sparkContext.broadcast(weights)
     names = [c for c in items.columns if c != "text"]
     at, k = items.columns.index("text"), len(langs)
@@ -122,22 +135,24 @@ def _text_scores(items: DataFrame, langs: list[str], weights: np.ndarray) -> Dat
                     for at_gram in range(0, len(g), step):
                         lls[r] += w[g[at_gram : at_gram + step]].sum(0, dtype=np.float64)
             ll = pa.ListArray.from_arrays(pa.array(np.arange(0, k * batch.num_rows + 1, k or 1, dtype=np.int32) if k else np.zeros(batch.num_rows + 1, np.int32)), pa.array(lls.ravel()))
-            yield pa.record_batch([*(c for i, c in enumerate(batch.columns) if i != at), pa.array(n), ll], names=[*names, "grams", "text_ll"])
+            m = np.maximum(n, 1)[:, None]
+            fits = (n < SHORT) | (lls / m >= least[0] + least[1] / np.sqrt(m)).any(1)
+            yield pa.record_batch([*(c for i, c in enumerate(batch.columns) if i != at), pa.array(n), pa.array(fits), ll], names=[*names, "grams", "fits", "text_ll"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in items.schema if f.name != "text")
-    return items.mapInArrow(run, schema + ", grams long, text_ll array<double>")
+    return items.mapInArrow(run, schema + ", grams long, fits boolean, text_ll array<double>")
 
 
-def identify(items: DataFrame, model: tuple[list[str], np.ndarray] | None = None, accept_at: float = ACCEPT_AT) -> DataFrame:
+def identify(items: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray] | None = None, accept_at: float = ACCEPT_AT) -> DataFrame:
     """items: id (long), text (binary, not null), declared, suffix, domain, host (strings, may be null).
     Returns id, lang, confidence, text_lang (by text alone) and kept for every row."""
-    langs, weights = model or fit(items)
+    langs, weights, least = model or fit(items)
     k = len(langs)
     if not k:
         return items.select("id", F.lit("und").alias("lang"), F.lit(0.0).alias("confidence"), F.lit("und").alias("text_lang"), F.lit(False).alias("kept"))
-    scored = cut(_text_scores(items, langs, weights), "langid")
+    scored = cut(_text_scores(items, langs, weights, least), "langid")
     best = lambda a: F.array_position(a, F.array_max(a)).cast("int")
-    voted = scored.withColumn("vote", F.when(F.col("grams") > 0, best(F.col("text_ll"))))
+    voted = scored.withColumn("vote", F.when((F.col("grams") > 0) & F.col("fits"), best(F.col("text_ll"))))
     votes = voted.where("vote is not null")
     counts = lambda: [F.sum((F.col("vote") == j + 1).cast("double")).alias(f"n{j}") for j in range(k)]
     arr = lambda: F.array(*(F.coalesce(F.col(f"n{j}"), F.lit(0.0)) for j in range(k)))
@@ -179,7 +194,7 @@ def identify(items: DataFrame, model: tuple[list[str], np.ndarray] | None = None
     top = F.array_max("fused")
     sure = 1.0 / F.aggregate("fused", F.lit(0.0), lambda a, x: a + F.exp(F.greatest(x - top, F.lit(-700.0))))
     name = lambda n: F.element_at(F.array(*map(F.lit, langs)), n)
-    heard = F.col("grams") > 0
+    heard = F.col("vote").isNotNull()
     return fused.select(
         "id",
         F.when(heard, name(best(F.col("fused")))).otherwise("und").alias("lang"),

@@ -171,6 +171,19 @@ def test_rare_languages_are_learned(spark):
     assert len(got) == len(langs) and all(r.lang == r.text_lang == langs[r.id] and r.kept for r in got)
 
 
+def test_texts_outside_the_languages_are_rejected(spark):
+    rng = random.Random(7)
+    words = {x: ["".join(rng.choices(letters, k=rng.randrange(2, 8))) for _ in range(60)] for x, letters in (("qaa", "abcdefgh"), ("qab", "ghijklmnop"), ("qac", "mnopqrstuvw"))}
+    say = lambda x, n=60: " ".join(rng.choices(words[x], k=n)).encode()
+    for known in (["qaa"], ["qaa", "qab"]):
+        rows = [(k, say(x), x) for k, x in enumerate(known * 100)]
+        rows += [(1000 + k, say("qac"), d) for k, d in enumerate([None, known[0]] * 5)] + [(2000, say(known[0], 2), None), (2001, say(known[-1], 8), None)]
+        items = spark.createDataFrame([(*r, None, None, "h") for r in rows], "id long, text binary, declared string, suffix string, domain string, host string")
+        got = {r.id: r for r in langid.identify(items).collect()}
+        assert all(got[k].kept and got[k].lang == x for k, x in enumerate(known * 100)) and got[2000].kept and got[2001].kept
+        assert not any(r.kept for k, r in got.items() if 1000 <= k < 1010)
+
+
 # pieces -----------------------------------------------------------------------------------------------------------
 def slow_viterbi(model, text):
     by = {p: s for p, (_, s, _) in ((k, model.automaton.get(k)) for k in model.automaton)}
