@@ -3,7 +3,7 @@
 Features are the presence of character n-grams (ORDERS) of the lower-cased, white-space-folded text, hashed into
 BUCKETS numbers. Over the training rows the documents with each number are counted by class in a grouped
 aggregation; r = log((n1 + a) / N1) - log((n0 + a) / N0) is its log-count ratio. The numbers whose counts are
-furthest from chance stay (a G statistic of SELECT_AT or more, at most SELECTED, at least LEAST_SELECTED), scaled by r, and a logistic regression with an L2 penalty is fitted over them.
+furthest from chance stay (all with a G statistic of SELECT_AT or more, at least LEAST_SELECTED), scaled by r, and a logistic regression with an L2 penalty is fitted over them.
 
 The classifier is fitted on at most TRAIN_ROWS labelled rows, chosen by a hash of doc_id. Only the text of a
 document is an input of its score; held-out rows (crc32 of doc_id as text, mod 3, is 1) teach nothing.
@@ -28,7 +28,9 @@ from emberline.llm.common import cut, text_or_empty
 TRAIN_ROWS = 12_000
 BUCKETS = 1 << 20
 ORDERS = (4, 6, 7)
-SELECTED, LEAST_SELECTED, SELECT_AT = 2048, 64, 16.0
+LEAST_SELECTED, SELECT_AT = 64, 16.0
+#: Rows of a block of the regression.
+BLOCK = 1_000
 LEAST_DOCS = 3
 PREDICT_AT = 0.7
 CHUNK = 1 << 20
@@ -97,17 +99,21 @@ class Model:
 
 def regress(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, l2: float = 1e-4, steps: int = 250, rate: float = 0.1) -> tuple[np.ndarray, float]:
     """Weights (scale included) and bias of a logistic regression; rows hold each row's features. Adam on all rows."""
-    sizes = np.array([len(r) for r in rows])
-    flat = np.concatenate(rows).astype(np.int32)
-    owner = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
+    blocks = []
+    for at in range(0, len(rows), BLOCK):
+        part = rows[at : at + BLOCK]
+        blocks.append((np.concatenate(part).astype(np.int32), np.repeat(np.arange(len(part), dtype=np.int32), [len(r) for r in part]), y[at : at + BLOCK]))
     bias = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
     w = np.zeros(len(scale) + 1)
     m, v = np.zeros_like(w), np.zeros_like(w)
-    xs = scale[flat]
     for t in range(1, steps + 1):
-        z = bias + w[-1] + np.bincount(owner, xs * w[flat], minlength=len(rows))
-        d = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / len(y)
-        g = np.append(np.bincount(flat, xs * d[owner], minlength=len(scale)) + l2 * w[:-1], d.sum())
+        g = np.append(l2 * w[:-1], 0.0)
+        sw = scale * w[:-1]
+        for flat, owner, told in blocks:
+            z = bias + w[-1] + np.bincount(owner, sw[flat], minlength=len(told))
+            d = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - told) / len(y)
+            g[:-1] += scale * np.bincount(flat, d[owner], minlength=len(scale))
+            g[-1] += d.sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return scale * w[:-1], bias + w[-1]
@@ -129,9 +135,11 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
     if not n0 or not n1:
         return none
     counted = sample.select("label", "text").mapInArrow(_count, "number int, n0 long, n1 long").groupBy("number").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") + F.col("n1") >= LEAST_DOCS)
-    # SELECTED rows of four numbers
-    got = counted.withColumn("g", evidence(F.col("n1"), F.col("n0"), n1, n0)).orderBy(F.desc(F.round("g", 6)), "number").limit(SELECTED).toPandas()
-    best = got[: max(LEAST_SELECTED, int((got["g"] >= SELECT_AT).sum()))]
+    judged = cut(counted.withColumn("g", F.round(evidence(F.col("n1"), F.col("n0"), n1, n0), 6)), "toxicity-counts")
+    # at most BUCKETS rows of four numbers
+    best = judged.where(F.col("g") >= SELECT_AT).orderBy(F.desc("g"), "number").toPandas()
+    if len(best) < LEAST_SELECTED:
+        best = judged.orderBy(F.desc("g"), "number").limit(LEAST_SELECTED).toPandas()
     r = np.log((best["n1"].to_numpy() + 0.5) / (n1 + 1)) - np.log((best["n0"].to_numpy() + 0.5) / (n0 + 1))
     if not len(best):
         return none
@@ -142,11 +150,11 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
     def chosen(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shared.value[presence(data)] for data in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array([k[k >= 0].astype("<i2").tobytes() for k in found], pa.binary()), batch.column(2)], names=["label", "found", "doc_id"])
+            yield pa.record_batch([batch.column(0), pa.array([k[k >= 0].astype("<i4").tobytes() for k in found], pa.binary()), batch.column(2)], names=["label", "found", "doc_id"])
 
-    # at most `rows` rows (and repeats of theirs) of at most SELECTED small numbers
+    # at most `rows` rows (and repeats of theirs) of the numbers chosen
     data = sample.select("label", "text", "doc_id").mapInArrow(chosen, "label int, found binary, doc_id long").orderBy(F.xxhash64("doc_id"), "found").limit(rows).toPandas()
-    weight, bias = regress([np.frombuffer(x, "<i2") for x in data["found"]], data["label"].to_numpy().astype(float), r)
+    weight, bias = regress([np.frombuffer(x, "<i4") for x in data["found"]], data["label"].to_numpy().astype(float), r)
     return Model(table, weight, bias)
 
 
