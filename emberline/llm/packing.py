@@ -2,14 +2,15 @@
 
 What must be known in one place is only how many pieces there are of each length, LIMIT numbers whatever the
 input's size. plan() packs these counts: the longest length left opens a sequence, and its gap is filled exactly
-by one length, by a pair or by a triple whose sum an index of the available lengths holds, as often as the counts
-allow; where nothing fits exactly, the longest length that fits is put in (best fit) and the rest of the gap is
-tried again. The plan is a list of patterns with multiplicities; turned around, it says for the r-th piece of a
+by one length, by a pair or by a triple, looked up by the gap in an index of the sums that the lengths left make (Sums);
+what is used is taken out of the index, and a pattern is repeated as often as the counts allow. Where nothing fits exactly,
+the longest length that fits is put in (best fit) and the rest of the gap is looked up again. The plan is a list of patterns with multiplicities; turned around, it says for the r-th piece of a
 length in which sequence and where it goes. Pieces get their rank within their length from counts per input
 partition and length and prefix sums over these, so no length's pieces ever meet in one task.
 
 Defined cases: null text is empty and one piece of the end id; a null doc_id is kept; repeated rows are
-packed each; an empty table gives an empty result; other columns are ignored.
+packed each; of combinations that fill a gap the one with the longest part is taken, singles before pairs before triples; a text of any
+length is cut into pieces, as many as it needs; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,34 +39,86 @@ class Plan:
     sequences: int
 
 
-class _Sums:
-    """Which lengths are left, and which sums their pairs and triples make."""
-
-    def __init__(self, left: np.ndarray):
-        self.left = left
+class Sums:
+    """An index of the sums that single lengths, pairs and triples of them make, under the counts of what is left.
+
+    left[t], pairs[t] and triples[t] say, addressed by the sum t, how many pieces, different pairs and different triples of
+    lengths make it; a length counts twice or thrice in one combination only if as many pieces of it are left. When a length
+    runs out (or falls to one or two pieces), the sums that it was part of are taken out, each table in one vector step.
+    A sum's combination is remembered with its longest part; since lengths only ever run out, the search for the next one
+    goes on below it, and is made only where the index says that there is one."""
+
+    def __init__(self, counts: np.ndarray):
+        self.limit = len(counts) - 1
+        self.left = np.zeros(self.limit + 1, np.int64)
+        self.pairs, self.triples = np.zeros_like(self.left), np.zeros_like(self.left)
+        for n in np.flatnonzero(counts).tolist():
+            for level in (1, 2, 3)[: int(min(counts[n], 3))]:
+                self._count(n, level, 1)
+            self.left[n] = counts[n]
+        # the longest part of the combination last found for each sum
+        self.pair_at, self.triple_at = np.arange(self.limit + 1), np.arange(self.limit + 1)
+
+    def _others(self, n: int) -> np.ndarray:
+        there = self.left > 0
+        there[n] = False
+        return there
+
+    def _count(self, n: int, level: int, sign: int) -> None:
+        """Adds (sign 1) or takes out (-1) the sums that need `level` pieces of length n, and no more."""
+        top = self.limit + 1
+        if level == 1:
+            if sign < 0:  # pairs are to be those without n
+                self.pairs[n:top] -= self._others(n)[: top - n]
+            self.triples[n:top] += sign * self.pairs[: top - n]
+            if sign > 0:
+                self.pairs[n:top] += self._others(n)[: top - n]
+        elif level * n < top:
+            if level == 3:
+                self.triples[3 * n] += sign
+            else:
+                self.pairs[2 * n] += sign
+                self.triples[2 * n : top] += sign * self._others(n)[: top - 2 * n]
+
+    def take(self, n: int, times: int = 1) -> None:
+        """Uses up pieces of length n."""
+        before, after = int(self.left[n]), int(self.left[n]) - times
+        if after < 0:
+            raise ValueError(f"no piece of length {n} is left")
+        for level in (3, 2, 1):
+            if before >= level > after:
+                self._count(n, level, -1)
+        self.left[n] = after
+
+    def _pair(self, total: int, most: int) -> tuple[int, int] | None:
+        """The pair with the longest part of at most `most`."""
+        a = np.arange(min(most, total - 1), (total - 1) // 2, -1)
+        ok = (self.left[a] > 0) & (self.left[total - a] > (a == total - a))
+        k = int(np.argmax(ok)) if len(a) else 0
+        return (int(a[k]), int(total - a[k])) if len(a) and ok[k] else None
 
     def pair(self, total: int) -> tuple[int, int] | None:
-        """The pair with the longest part; one length twice only if two are left."""
-        if total < 2:
+        if not self.pairs[total]:
             return None
-        a = np.arange(total - 1, (total - 1) // 2, -1)
-        ok = (self.left[a] > 0) & (self.left[total - a] > 0)
-        if total % 2 == 0 and self.left[total // 2] < 2:
-            ok[-1] = False
-        k = int(np.argmax(ok))
-        return (int(a[k]), int(total - a[k])) if ok[k] else None
+        found = self._pair(total, int(self.pair_at[total]))
+        self.pair_at[total] = found[0]
+        return found
 
     def triple(self, total: int) -> tuple[int, int, int] | None:
-        longest = np.flatnonzero(self.left[1:total]) + 1
-        for a in longest[longest * 3 >= total][::-1].tolist():
+        if not self.triples[total]:
+            return None
+        longest = np.flatnonzero(self.left[: min(int(self.triple_at[total]), total - 2) + 1])
+        for a in longest[(longest * 3 >= total) & (self.pairs[total - longest] > 0)][::-1].tolist():
             self.left[a] -= 1
-            rest = self.pair(total - a)
+            rest = self._pair(total - a, a)
             self.left[a] += 1
-            if rest and rest[0] <= a:
+            if rest:
+                self.triple_at[total] = a
                 return (a, *rest)
-        return None
+        raise AssertionError(f"the index has a triple of {total} that isn't there")
 
     def exact(self, gap: int) -> tuple[int, ...] | None:
+        """One length, a pair or a triple that fills the gap."""
         if self.left[gap]:
             return (gap,)
         return self.pair(gap) or self.triple(gap)
@@ -78,18 +131,18 @@ class _Sums:
 
 def plan(counts: np.ndarray, limit: int = LIMIT) -> Plan:
     """counts[n]: how many pieces have length n, 1 <= n <= limit."""
-    left = np.array(counts, np.int64)
-    if len(left) != limit + 1 or left[0] or (left < 0).any():
+    counts = np.asarray(counts, np.int64)
+    if len(counts) != limit + 1 or counts[0] or (counts < 0).any():
         raise ValueError("counts go from 0 to limit, and no piece is empty")
-    sums, patterns, first = _Sums(left), [], 0
-    top = limit
+    sums, patterns, first = Sums(counts), [], 0
+    left, top = sums.left, limit
     while True:
         held = np.flatnonzero(left[: top + 1])
         if not len(held):
             return Plan(patterns, first)
         top = int(held[-1])
         parts, gap = [top], limit - top
-        left[top] -= 1
+        sums.take(top)
         while gap:
             more = sums.exact(gap)
             if more is None:
@@ -97,7 +150,7 @@ def plan(counts: np.ndarray, limit: int = LIMIT) -> Plan:
                 if not more[0]:
                     break
             for n in more:
-                left[n] -= 1
+                sums.take(n)
             parts += more
             gap -= sum(more)
         need: dict[int, int] = {}
@@ -105,8 +158,9 @@ def plan(counts: np.ndarray, limit: int = LIMIT) -> Plan:
             need[n] = need.get(n, 0) + 1
         # the same pattern again, as often as the counts allow
         more_times = int(min(left[n] // k for n, k in need.items()))
-        for n, k in need.items():
-            left[n] -= k * more_times
+        if more_times:
+            for n, k in need.items():
+                sums.take(n, k * more_times)
         patterns.append((1 + more_times, first, list(need.items())))
         first += 1 + more_times
 

@@ -199,3 +199,49 @@ def test_packing_query(spark):
             at += n
         assert at <= packing.LIMIT
     assert len(held) <= -(-sum(map(len, ids.values())) // packing.LIMIT) + 1
+
+
+def test_sums_are_those_of_what_is_left():
+    """The index against all pairs and triples, while lengths run out one after the other."""
+    import itertools
+
+    rng = np.random.default_rng(3)
+    for limit in (12, 30):
+        for _ in range(12):
+            counts = rng.integers(0, 5, limit + 1) * (rng.random(limit + 1) < 0.6)
+            counts[0] = 0
+            sums = packing.Sums(counts)
+            while sums.left.any():
+                there = np.flatnonzero(sums.left).tolist()
+                fit = [[x for x in itertools.combinations_with_replacement(there, k) if all(sums.left[n] >= x.count(n) for n in set(x))] for k in (2, 3)]
+                for t in range(1, limit + 1):
+                    for table, find, every in ((sums.pairs, sums.pair, fit[0]), (sums.triples, sums.triple, fit[1])):
+                        own = [x for x in every if sum(x) == t]
+                        assert table[t] == len(own)
+                        found = find(t)
+                        assert tuple(sorted(found)) in own and max(found) == max(map(max, own)) if own else found is None
+                n = int(rng.choice(there))
+                sums.take(n, int(rng.integers(1, sums.left[n] + 1)))
+
+
+def test_exact_fills_come_from_the_index(monkeypatch):
+    """Every gap that one, two or three lengths fill is filled by them, and only those are asked for."""
+    asked = []
+    exact = packing.Sums.exact
+
+    def told(self, gap):
+        got = exact(self, gap)
+        asked.append((gap, got, bool(self.left[gap] or self.pairs[gap] or self.triples[gap])))
+        return got
+
+    monkeypatch.setattr(packing.Sums, "exact", told)
+    counts = np.zeros(101, np.int64)
+    counts[[70, 20, 10, 60, 25, 15, 33, 7]] = (4, 4, 4, 3, 6, 3, 9, 2)
+    plan = packing.plan(counts, 100)
+    assert all((got is not None) == there and (got is None or sum(got) == gap) for gap, got, there in asked)
+    used = np.zeros(101, np.int64)
+    for times, _, parts in plan.patterns:
+        assert sum(n * k for n, k in parts) <= 100
+        for n, k in parts:
+            used[n] += times * k
+    assert (used == counts).all() and plan.sequences == sum(t for t, _, _ in plan.patterns)
