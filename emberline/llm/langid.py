@@ -16,7 +16,8 @@ is then far below what texts of each language have, however few languages there
 
 Defined cases: an item without letters (null and empty texts too) has language "und" and is rejected; missing
 declared languages, suffixes and hosts are no evidence; without any declared language to learn from all items
-are "und"; repeated rows are decided each; an empty table gives an empty result.
+are "und"; of equally likely languages the first in the alphabet wins; texts of any length are read whole; repeated rows are
+decided each; columns beyond those named are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -53,18 +54,31 @@ _fold[65:91] = np.arange(97, 123)
 _fold[128:] = np.arange(128, 256)
 
 
-def grams(data: bytes) -> np.ndarray:
-    """Gram numbers of the letters in UTF-8 text; what isn't a letter separates words, white-space runs are one separator."""
-    b = _fold[np.frombuffer(data, np.uint8)]
-    if len(b) > 1:  # capital letters of the Latin-1 block
-        up = (b[:-1] == 0xC3) & (b[1:] >= 0x80) & (b[1:] <= 0x9E) & (b[1:] != 0x97)
-        b[1:][up] += 0x20
-        b = b[~((b == 32) & np.r_[False, b[:-1] == 32])]
-    if len(b) < 3:
-        b = np.r_[b, np.full(3 - len(b), 32, np.uint8)]
-    w = b.astype(np.uint32)
-    keep = (b[1:-1] != 32) | (b[:-2] != 32)
-    return (((w[:-2] * 0x9E37 + w[1:-1]) * 0x85EB + w[2:]) * 0x9E3779B1 >> 16)[keep] & (GRAMS - 1) if (b != 32).any() else np.zeros(0, np.uint32)
+def grams(data: bytes) -> Iterator[np.ndarray]:
+    """Gram numbers of the letters in UTF-8 text, in pieces of bounded size; what isn't a letter separates words, white-space
+    runs are one separator. The last bytes of a stretch are kept for the next one, so stretches change nothing."""
+    kept, seen, at = np.zeros(0, np.uint8), False, 0
+    while at < len(data):
+        end = min(at + CHUNK, len(data))
+        end += end < len(data) and data[end - 1] == 0xC3  # a lead byte stays with the next one
+        b = _fold[np.frombuffer(data, np.uint8, end - at, at)]
+        if len(b) > 1:  # capital letters of the Latin-1 block
+            up = (b[:-1] == 0xC3) & (b[1:] >= 0x80) & (b[1:] <= 0x9E) & (b[1:] != 0x97)
+            b[1:][up] += 0x20
+        x = np.concatenate([kept, b[~((b == 32) & np.r_[len(kept) > 0 and kept[-1] == 32, b[:-1] == 32])]])
+        if len(x) >= 3:
+            seen = True
+            yield _gram_numbers(x)
+            x = x[-2:]
+        kept, at = x, end
+    if not seen and (kept != 32).any():
+        x = np.r_[kept, np.full(3 - len(kept), 32, np.uint8)]
+        yield _gram_numbers(x)[(x[1:-1] != 32) | (x[:-2] != 32)]
+
+
+def _gram_numbers(x: np.ndarray) -> np.ndarray:
+    w = x.astype(np.uint32)
+    return ((w[:-2] * 0x9E37 + w[1:-1]) * 0x85EB + w[2:]) * 0x9E3779B1 >> 16 & (GRAMS - 1)
 
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,8 +89,8 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from _flushed(by)
                 by.clear()
             held = by.setdefault(lang, np.zeros(GRAMS, np.int64))
-            for at in range(0, len(data), CHUNK):
-                held += np.bincount(grams(data[at : at + CHUNK]), minlength=GRAMS)
+            for g in grams(data):
+                held += np.bincount(g, minlength=GRAMS)
     yield from _flushed(by)
 
 
@@ -129,8 +143,7 @@ def _text_scores(items: DataFrame, langs: list[str], weights: np.ndarray, least:
         for batch in batches:
             lls, n = np.zeros((batch.num_rows, k)), np.zeros(batch.num_rows, np.int64)
             for r, data in enumerate(batch.column(at).to_pylist()):
-                for s in range(0, len(data), CHUNK):
-                    g = grams(data[s : s + CHUNK])
+                for g in grams(data):
                     n[r] += len(g)
                     for at_gram in range(0, len(g), step):
                         lls[r] += w[g[at_gram : at_gram + step]].sum(0, dtype=np.float64)
