@@ -1,29 +1,44 @@
 """A corpus from documents: language ID, exact dedup, near-dedup, secret redaction, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept; all but the last return the
-columns of documents."""
+columns of documents. A stage that drops rows decides on each row by its own number (see common.numbered), carries only
+numbers, ids and digests until then, and reads the rows that stay from docs, which isn't shuffled for that.
+
+Defined cases: null text is empty; text without letters has no language and goes; of equal texts the row of the smallest
+doc_id stays, of rows that share that too the first in the files, and so it is in groups of near-duplicates, where a
+null doc_id comes last; a row with a null doc_id and a unique text stays; rows of one doc_id with different texts are judged
+each; texts of any length are read whole; further columns are kept up to packing; an empty table gives an empty result."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from emberline.llm import credentials, exact_dedup, langid, neardup, packing
-from emberline.llm.common import cut, keep_rows, table
+from emberline.llm.common import ROW, cut, numbered, only, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language can't be told."""
-    return keep_rows(docs, langid.identify(langid.document_items(docs)).where("kept").select("id"))
+    rows = numbered(docs)
+    told = langid.identify(langid.document_items(rows, ROW), carry=(ROW,))
+    return only(rows, ROW, told.where("kept").select(ROW)).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts keeps the smallest doc_id."""
-    return keep_rows(docs, exact_dedup.exact_dedup(docs).where("kept").select("doc_id"))
+    """Keeps one row of each group of equal texts, of the smallest doc_id."""
+    rows = numbered(docs)
+    told = exact_dedup.exact_dedup(rows, row=ROW).where("kept")
+    first = told.groupBy("text_sha256").agg(F.min(ROW).alias(ROW))
+    return only(rows, ROW, first.select(ROW)).select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates."""
-    return keep_rows(docs, neardup.near_duplicates(docs).where("kept").select("doc_id"))
+    """Keeps one row of each group of near-duplicates, of the smallest doc_id."""
+    rows = numbered(docs)
+    told = cut(neardup.near_duplicates(rows, row=ROW).where("kept").select(ROW, "group"), "near")
+    first = told.where("group is not null").groupBy("group").agg(F.min(ROW).alias(ROW)).select(ROW)
+    return only(rows, ROW, first.unionByName(told.where("group is null").select(ROW))).select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

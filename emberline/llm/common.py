@@ -10,6 +10,7 @@ import uuid
 from contextlib import contextmanager
 from urllib.parse import unquote, urlparse
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of this machine's own only where none is set (tests, local mode)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = getattr(shared_dir, "own", None)
         if base is None:
             base = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="emberline-")
@@ -118,8 +121,56 @@ def text_or_empty(df: DataFrame, column: str = "text"):
     return F.coalesce(df[column].cast("string"), F.lit(""))
 
 
-def keep_rows(docs: DataFrame, kept_ids: DataFrame) -> DataFrame:
-    """The rows of docs, all columns as they are, whose doc_id is in the one-column table kept_ids.
-    A null doc_id matches a null."""
-    ids = kept_ids.toDF("__kept_doc_id")
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__kept_doc_id"]), "left_semi")
+#: The column that numbered() adds.
+ROW = "__emberline_row"
+FILE_BITS = 40
+#: Rows of a mask; masks of at most so many bytes together are sent to every executor.
+MASK_ROWS, MASKS_BYTES = 1 << 15, 64 << 20
+
+
+def _is_scan(plan) -> bool:
+    """Whether rows of the plan are rows of files, each at most once."""
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with the column ROW, a number that belongs to the row for good: its file's number, in order of paths, and its place
+    in the file. It doesn't depend on how the files are split into tasks, so a lost executor or another number of
+    executors changes nothing. A table that isn't read from Parquet files is written first."""
+    spark = docs.sparkSession
+    try:
+        if not _is_scan(docs._jdf.queryExecution().analyzed()):
+            raise AnalysisException("not a scan")
+        meta = docs.metadataColumn("_metadata")
+        placed = docs.select("*", meta["file_path"].alias("__emberline_path"), meta["row_index"].alias("__emberline_at"))
+    except AnalysisException:
+        docs = cut(docs, "rows")
+        meta = docs.metadataColumn("_metadata")
+        placed = docs.select("*", meta["file_path"].alias("__emberline_path"), meta["row_index"].alias("__emberline_at"))
+    # the scan's files, which the driver lists anyway
+    files = sorted(r[0] for r in placed.select("__emberline_path").distinct().collect())
+    if len(files) < 2:
+        number = F.lit(0).cast("long")
+        return placed.select(*(placed[c] for c in docs.columns), (F.shiftleft(number, FILE_BITS) + F.col("__emberline_at")).alias(ROW))
+    names = F.broadcast(spark.createDataFrame(list(zip(files, range(len(files)), strict=True)), "__emberline_file string, __emberline_number long"))
+    joined = placed.join(names, F.col("__emberline_path") == F.col("__emberline_file"))
+    return joined.select(*(placed[c] for c in docs.columns), (F.shiftleft(F.col("__emberline_number"), FILE_BITS) + F.col("__emberline_at")).alias(ROW))
+
+
+def only(df: DataFrame, column: str, wanted: DataFrame, masks_bytes: int | None = None) -> DataFrame:
+    """The rows of df whose row number (see numbered) in `column` is in the one-column table `wanted`. The wanted numbers
+    become bit masks, one for MASK_ROWS rows that follow one another; these are counted, and sent to all executors if they
+    are small, so that df isn't shuffled. Otherwise the numbers are joined."""
+    w = wanted.toDF("__emberline_w").where("__emberline_w is not null")
+    part, place = lambda c: F.shiftright(c, 15), lambda c: c.bitwiseAND(F.lit(MASK_ROWS - 1))
+    masks = w.groupBy(part(F.col("__emberline_w")).alias("__emberline_part")).agg(F.bitmap_construct_agg(place(F.col("__emberline_w"))).alias("__emberline_bits"))
+    masks = cut(masks, "masks")
+    if masks.count() * MASK_ROWS // 8 > (MASKS_BYTES if masks_bytes is None else masks_bytes):
+        return df.join(w, df[column] == w["__emberline_w"], "left_semi")
+    at = place(df[column])
+    byte = F.conv(F.hex(F.col("__emberline_bits").substr((F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.pmod(byte / F.pow(F.lit(2), at.bitwiseAND(F.lit(7))), F.lit(2)) >= 1
+    joined = df.join(F.broadcast(masks), part(df[column]) == masks["__emberline_part"])
+    return joined.where(bit).select(*(df[c] for c in df.columns))

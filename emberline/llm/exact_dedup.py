@@ -9,7 +9,7 @@ digests merges these.
 
 Defined cases: null text is the empty text, and empty texts equal one another; a null doc_id never
 stays where its group has a doc_id; repeated rows of one doc_id and text share one verdict and count
-as rows of the group; an empty table gives an empty result; other columns are ignored.
+as rows of the group; texts of any length are digested whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from emberline.llm.common import SPACES, cut, text_or_empty
 GROUPS = "digest binary, keep_id long, copies long"
 #: An index passes on what it holds and starts again beyond so many keys: memory stays bounded, and merging is associative.
 FLUSH_KEYS = 200_000
+#: Digests of a hash partition, about: an index that merges holds 300 bytes a key, and twice that while it is rebuilt.
+PARTITION_KEYS = 500_000
 
 
 class CuckooIndex:
@@ -168,19 +170,25 @@ def _merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _emit(index)
 
 
-def digest_table(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id and digest of each row; runs in the JVM."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(F.regexp_replace(text_or_empty(docs, text), SPACES, " "), 256)).alias("digest"))
+def digest_table(docs: DataFrame, text: str = "text", row: str | None = None) -> DataFrame:
+    """doc_id and digest (and `row`) of each row; runs in the JVM."""
+    return docs.select(*([row] if row else []), F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(F.regexp_replace(text_or_empty(docs, text), SPACES, " "), 256)).alias("digest"))
+
+
+def _dealt(rows: DataFrame, keys: int) -> DataFrame:
+    """rows by hash of digest, in partitions of about PARTITION_KEYS of the `keys` digests at most."""
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(least, -(-keys // PARTITION_KEYS)), "digest")
 
 
 def group_index(digests: DataFrame) -> DataFrame:
-    """One row per live digest: digest, keep_id, copies."""
-    return digests.select("digest", "doc_id").mapInArrow(_collapse, GROUPS).repartition("digest").mapInArrow(_merge, GROUPS)
+    """One row per live digest: digest, keep_id, copies. digests is read twice, to be counted first."""
+    return _dealt(digests.select("digest", "doc_id").mapInArrow(_collapse, GROUPS), digests.count()).mapInArrow(_merge, GROUPS)
 
 
-def exact_dedup(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, keep_id, group_size, kept and text_sha256 for every row of docs."""
-    digests = cut(digest_table(docs, text), "digests")
+def exact_dedup(docs: DataFrame, text: str = "text", row: str | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size, kept and text_sha256 for every row of docs; and its column `row`, if there is one."""
+    digests = cut(digest_table(docs, text, row), "digests")
     groups = group_index(digests).where("copies > 1").toDF("g_digest", "g_keep", "g_copies")
     joined = digests.join(groups, digests["digest"] == groups["g_digest"], "left")
     # a digest without a row in groups stands alone; g_keep may be null for a group without ids
@@ -191,6 +199,7 @@ def exact_dedup(docs: DataFrame, text: str = "text") -> DataFrame:
         F.coalesce("g_copies", F.lit(1).cast("long")).alias("group_size"),
         F.col("doc_id").eqNullSafe(keep).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        *([row] if row else []),
     )
 
 
@@ -208,13 +217,23 @@ def _apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _emit(index)
 
 
-def update_index(index: DataFrame, added: DataFrame | None = None, deleted: DataFrame | None = None) -> DataFrame:
-    """The index table after further rows (added: digest, keep_id, copies) and deletions (deleted: digest,
-    copies, null copies for all): digests without copies left are gone, so a later equal text is new again.
-    keep_id stays the smallest id ever inserted for a digest that still lives."""
-    live = index.select("digest", "keep_id", "copies", F.lit(False).alias("gone"))
+def update_index(index: DataFrame, added: DataFrame | None = None, deleted: DataFrame | None = None, live: DataFrame | None = None) -> DataFrame:
+    """The index table after further rows (added: digest, keep_id, copies) and deletions (deleted: digest, copies, null copies
+    for all). Digests without copies left are gone, so a later equal text is new again. live (digest, doc_id) are the rows
+    that are there afterwards; it is needed with deletions, since keep_id of a digest that lost copies is counted anew from
+    them: it is always the smallest id of a row that is still there."""
+    if deleted is not None and live is None:
+        raise ValueError("after deletions keep_id comes from the rows that are left: give live")
+    rows = index.select("digest", "keep_id", "copies", F.lit(False).alias("gone"))
     if added is not None:
-        live = live.unionByName(added.select("digest", "keep_id", "copies", F.lit(False).alias("gone")))
+        rows = rows.unionByName(added.select("digest", "keep_id", "copies", F.lit(False).alias("gone")))
+    keys = rows.count()
     if deleted is not None:
-        live = live.unionByName(deleted.select("digest", F.lit(None).cast("long").alias("keep_id"), F.col("copies").cast("long"), F.lit(True).alias("gone")))
-    return live.repartition("digest").mapInArrow(_apply, GROUPS)
+        rows = rows.unionByName(deleted.select("digest", F.lit(None).cast("long").alias("keep_id"), F.col("copies").cast("long"), F.lit(True).alias("gone")))
+    left = _dealt(rows, keys).mapInArrow(_apply, GROUPS)
+    if deleted is None:
+        return left
+    touched = deleted.select(F.col("digest").alias("t_digest")).distinct()
+    low = live.join(touched, live["digest"] == touched["t_digest"], "left_semi").groupBy("digest").agg(F.min("doc_id").alias("low")).select(F.col("digest").alias("l_digest"), "low", F.lit(True).alias("recount"))
+    joined = left.join(low, left["digest"] == low["l_digest"], "left")
+    return joined.select("digest", F.when(F.col("recount"), F.col("low")).otherwise(F.col("keep_id")).alias("keep_id"), "copies")

@@ -46,7 +46,8 @@ ACCEPT_AT = 0.4
 #: A text of SHORT grams or more fits a language whose own texts' mean log-likelihood a gram it misses by at most DROP, and SLACK standard errors.
 SHORT, DROP, SLACK = 20, 2.0, 6.0
 CHUNK = 1 << 20
-SALTS = 64
+#: A host with more than one in HOT_SHARE of all rows is hot: its rows are dealt to SALTS tasks.
+HOT_SHARE, SALTS = 1_000, 64
 
 _fold = np.full(256, 32, np.uint8)
 _fold[97:123] = np.arange(97, 123)
@@ -156,13 +157,13 @@ def _text_scores(items: DataFrame, langs: list[str], weights: np.ndarray, least:
     return items.mapInArrow(run, schema + ", grams long, fits boolean, text_ll array<double>")
 
 
-def identify(items: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray] | None = None, accept_at: float = ACCEPT_AT) -> DataFrame:
+def identify(items: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray] | None = None, accept_at: float = ACCEPT_AT, carry: tuple[str, ...] = ()) -> DataFrame:
     """items: id (long), text (binary, not null), declared, suffix, domain, host (strings, may be null).
-    Returns id, lang, confidence, text_lang (by text alone) and kept for every row."""
+    Returns id, lang, confidence, text_lang (by text alone), kept and the columns of `carry` for every row."""
     langs, weights, least = model or fit(items)
     k = len(langs)
     if not k:
-        return items.select("id", F.lit("und").alias("lang"), F.lit(0.0).alias("confidence"), F.lit("und").alias("text_lang"), F.lit(False).alias("kept"))
+        return items.select("id", F.lit("und").alias("lang"), F.lit(0.0).alias("confidence"), F.lit("und").alias("text_lang"), F.lit(False).alias("kept"), *carry)
     scored = cut(_text_scores(items, langs, weights, least), "langid")
     best = lambda a: F.array_position(a, F.array_max(a)).cast("int")
     voted = scored.withColumn("vote", F.when((F.col("grams") > 0) & F.col("fits"), best(F.col("text_ll"))))
@@ -183,23 +184,31 @@ def identify(items: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray] |
 
     # what belongs to hosts: tables by host, as large as there are hosts
     smooth = lambda own, above: F.transform(F.arrays_zip(own.alias("o"), above.alias("u")), lambda z: (z["o"] + KAPPA * z["u"]) / (F.aggregate(own, F.lit(0.0), lambda a, x: a + x) + KAPPA))
-    hosts = votes.where("host is not null").groupBy("host", "domain", "suffix").agg(*counts()).select("host", "domain", "suffix", arr().alias("h"))
+    hosts = voted.where("host is not null").groupBy("host", "domain", "suffix").agg(F.count("*").alias("rows"), *counts()).select("host", "domain", "suffix", "rows", arr().alias("h"))
+    hosts = cut(hosts, "hosts")
     add = lambda: F.array(*(F.sum(F.element_at("h", j + 1)) for j in range(k)))
-    domains = hosts.groupBy("domain").agg(add().alias("d")).select(F.col("domain").alias("d_domain"), "d")
+    # hosts without a dot have one domain together, which needs no join
+    dotless = F.array(*(F.lit(float(x)) for x in hosts.where("domain is null").agg(add()).first()[0] if x is not None))
+    domains = hosts.where("domain is not null").groupBy("domain").agg(add().alias("d")).select(F.col("domain").alias("d_domain"), "d")
     suffixes = hosts.where("suffix is not null").groupBy("suffix").agg(add().alias("s")).select(F.col("suffix").alias("s_suffix"), "s")
     above = F.array(*(F.lit(float(x)) for x in prior))
     totals = F.array(*(F.lit(float(x)) for x in total))
     suffix_ll = F.transform(F.arrays_zip(F.col("s").alias("o"), totals.alias("u")), lambda z: F.log((z["o"] + 0.5) / (z["u"] + 1.0)))
     by_host = (
-        hosts.join(domains, hosts["domain"].eqNullSafe(domains["d_domain"]))
+        hosts.join(domains, hosts["domain"] == domains["d_domain"], "left")
+        .withColumn("d", F.when(F.col("domain").isNull(), dotless).otherwise(F.col("d")))
         .join(suffixes, hosts["suffix"] == suffixes["s_suffix"], "left")
         .groupBy("host")
         .agg(F.max_by(smooth(F.col("h"), smooth(F.col("d"), above)), F.coalesce("domain", F.lit(""))).alias("p"), F.max_by(F.coalesce(suffix_ll, flat), F.coalesce("domain", F.lit(""))).alias("s_ll"))
         .select(F.col("host").alias("h_host"), "p", "s_ll")
     )
-    # a host may hold a third of all rows: its rows go to SALTS tasks, each with a copy of the host's own row
-    salted = by_host.withColumn("h_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    voted = voted.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    # a host may hold a third of all rows: a hot one's rows go to SALTS tasks, each with a copy of the host's own row.
+    # Fewer than HOT_SHARE hosts are hot; their names go through the driver
+    held = hosts.agg(F.sum("rows")).first()[0] or 0
+    hot = [r[0] for r in hosts.groupBy("host").agg(F.sum("rows").alias("rows")).where(F.col("rows") * HOT_SHARE > held).select("host").collect()]
+    is_hot = lambda c: c.isin(hot) if hot else F.lit(False)
+    salted = by_host.withColumn("h_salt", F.explode(F.when(is_hot(F.col("h_host")), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    voted = voted.withColumn("salt", F.when(is_hot(F.col("host")), F.pmod(F.xxhash64("id", *carry), F.lit(SALTS)).cast("int")).otherwise(0))
     joined = voted.join(salted, (voted["host"] == salted["h_host"]) & (voted["salt"] == salted["h_salt"]), "left").join(tags, known == F.col("d_tag"), "left")
     host_ll = F.transform(F.coalesce("p", above), lambda x: F.log(x))
     zipped = F.arrays_zip(F.col("text_ll").alias("t"), declared.alias("d"), host_ll.alias("h"), F.coalesce("s_ll", flat).alias("s"))
@@ -214,13 +223,14 @@ def identify(items: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray] |
         F.when(heard, F.round(sure, 6)).otherwise(0.0).alias("confidence"),
         F.when(heard, name(F.col("vote"))).otherwise("und").alias("text_lang"),
         (heard & (sure >= accept_at)).alias("kept"),
+        *carry,
     )
 
 
-def document_items(docs: DataFrame) -> DataFrame:
+def document_items(docs: DataFrame, *carry: str) -> DataFrame:
     """documents: the declared language is their lang, the host their source, which has no suffix unless it has a dot."""
     host = F.lower(F.nullif(F.col("source").cast("string"), F.lit("")))
-    return docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(docs["text"].cast("string"), F.lit("")).cast("binary").alias("text"), *_address(host), _tag(F.col("lang")).alias("declared"))
+    return docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(docs["text"].cast("string"), F.lit("")).cast("binary").alias("text"), *_address(host), _tag(F.col("lang")).alias("declared"), *carry)
 
 
 def page_items(pages: DataFrame) -> DataFrame:

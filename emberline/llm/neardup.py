@@ -1,8 +1,8 @@
 """Near-duplicate detection with bottom-k sketches from one hash function.
 
 A document's set is its distinct SHINGLE-word shingles, each a 63-bit hash; its sketch the K smallest of them (the
-whole set, if it is smaller). Documents with one set are a class, represented by the smallest doc_id; only
-representatives go on.
+whole set, if it is smaller). Documents with one set are a class, represented by a row of the smallest doc_id; only
+representatives go on, under their row's number, so that a doc_id may belong to rows of different texts.
 
 Inverted lists. A pair of Jaccard similarity 0.75 has LEAST = 24 or more of the K = 64 smallest values of its
 union in both sketches but for a chance of 1e-11 (and for certain, if the sets are sketched whole). Values are ranked
@@ -23,7 +23,9 @@ once. Links are exact (on 63-bit hashes); components come from links between dif
 
 Defined cases: null text and text without words has the empty set and is linked with nothing; a text of fewer
 words than a shingle is one shingle, other than any full one; a null doc_id is linked with nothing, has a null component and is kept;
-repeated rows of one doc_id and text share their verdict; an empty table gives an empty result; other columns are ignored.
+rows are linked each by its own text, so rows of one doc_id are together only if their texts are similar: group, the
+number of a row of the component, tells components apart (null where a row is linked with nothing by definition); texts of any
+length are read whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import cut, text_or_empty
+from emberline.llm.common import ROW, cut, numbered, only, text_or_empty
 from emberline.llm.components import connected_components
 
 SHINGLE = 5
@@ -95,32 +97,29 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [shingle_set(x) for x in batch.column(1).to_pylist()]
+        sets = [shingle_set(x) for x in batch.column(2).to_pylist()]
         marks = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-        yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks, pa.binary()), _lists([s[:K] for s in sets])], names=["doc_id", "n", "mark", "sketch"])
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks, pa.binary()), _lists([s[:K] for s in sets])], names=["row", "doc_id", "n", "mark", "sketch"])
 
 
 def _full(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, data = batch.column(0), batch.column(1).to_pylist()
+        rows, data = batch.column(0), batch.column(1).to_pylist()
         for at in range(0, len(data), 500):
-            yield pa.record_batch([ids[at : at + 500], _lists([shingle_set(x) for x in data[at : at + 500]])], names=["rep", "vals"])
-
-
-def _items(docs: DataFrame, text: str) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(docs, text).cast("binary").alias("text"))
+            yield pa.record_batch([rows[at : at + 500], _lists([shingle_set(x) for x in data[at : at + 500]])], names=["rep", "vals"])
 
 
 def _entries(reps: DataFrame) -> DataFrame:
     """The inverted lists: v, rep, n, of values that two or more documents have among their prefixes."""
-    posted = reps.select("rep", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
+    posted = reps.select("rep", F.explode("sketch").alias("v"))
     shared = posted.groupBy("v").agg(F.count("*").alias("df")).where("df > 1").withColumnRenamed("v", "d_v")
-    least = F.when(F.col("n") <= K * PERCENT // 100, F.ceil(F.col("n") * PERCENT / 100)).otherwise(LEAST)
-    ranked = posted.join(shared, posted["v"] == shared["d_v"]).groupBy("rep", "n", "s").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("held"))
     # at most K values a document; those no other document has come first and aren't here
+    held = posted.join(shared, posted["v"] == shared["d_v"]).groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("held"))
+    sizes = reps.select(F.col("rep").alias("s_rep"), "n", F.size("sketch").alias("s"))
+    ranked = held.join(sizes, held["rep"] == sizes["s_rep"])
+    least = F.when(F.col("n") <= K * PERCENT // 100, F.ceil(F.col("n") * PERCENT / 100)).otherwise(LEAST)
     first = F.col("s") - least + 1 - (F.col("s") - F.size("held"))
-    kept = ranked.where(first > 0).select("rep", "n", F.explode(F.slice("held", F.lit(1), first.cast("int"))).alias("x")).select("rep", "n", F.col("x.v").alias("v"))
-    return kept
+    return ranked.where(first > 0).select("rep", "n", F.explode(F.slice("held", F.lit(1), first.cast("int"))).alias("x")).select("rep", "n", F.col("x.v").alias("v"))
 
 
 def _matrix(values: np.ndarray, owner: np.ndarray, rows: int, columns: np.ndarray) -> np.ndarray:
@@ -195,9 +194,11 @@ def _compare(t: pa.Table) -> pa.Table:
 class _Search:
     """Candidates, verification and components over one set of lists."""
 
-    def __init__(self, docs: DataFrame, text: str, reps: DataFrame):
-        self.docs, self.text, self.reps = docs, text, reps
-        self.lists = cut(_entries(reps), "lists")
+    def __init__(self, texts: DataFrame, reps: DataFrame):
+        """texts: row, text; reps: rep (a row), n, sketch."""
+        self.texts, self.lists = texts, cut(_entries(reps), "lists")
+        self.members = self.lists.select("rep").distinct()
+        self.sketches = cut(only(reps.select("rep", "sketch"), "rep", self.members), "sketches")
         self.links: DataFrame | None = None
         self.tested: DataFrame | None = None
         self.comps: DataFrame | None = None
@@ -258,12 +259,9 @@ class _Search:
         return x.groupBy("g", "kind", "i", "j").applyInArrow(_compare, "u long, v long")
 
     def full_sets(self) -> DataFrame:
-        """rep and its full set, for every representative in a list; made once."""
+        """rep and its full set, for every representative in a list; made once, from the representatives' own rows."""
         if self.sets is None:
-            members = self.lists.select("rep").distinct()
-            items = _items(self.docs, self.text)
-            own = items.join(members, items["doc_id"] == members["rep"], "left_semi")
-            self.sets = cut(own.mapInArrow(_full, "rep long, vals array<long>").dropDuplicates(["rep"]), "sets")
+            self.sets = cut(only(self.texts, "row", self.members).mapInArrow(_full, "rep long, vals array<long>"), "sets")
         return self.sets
 
     def join(self, links: DataFrame) -> None:
@@ -279,8 +277,7 @@ class _Search:
         if self.tested is not None:
             t = self.tested.toDF("t_a", "t_b")
             pairs = pairs.join(t, (pairs["a"] == t["t_a"]) & (pairs["b"] == t["t_b"]), "left_anti")
-        sk = self.reps.select("rep", "sketch")
-        one, two = sk.toDF("ra", "sa"), sk.toDF("rb", "sb")
+        one, two = self.sketches.toDF("ra", "sa"), self.sketches.toDF("rb", "sb")
         x = pairs.join(one, pairs["a"] == one["ra"])
         x = x.join(two, x["b"] == two["rb"])
         common = F.array_intersect("sa", "sb")
@@ -316,16 +313,24 @@ class _Search:
         return self.comps
 
 
-def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of docs."""
-    sketched = cut(_items(docs, text).mapInArrow(_sketch, "doc_id long, n long, mark binary, sketch array<long>"), "sketches")
+def near_duplicates(docs: DataFrame, text: str = "text", row: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of docs; also group and the row's number, if docs has it in
+    the column `row` (see common.numbered)."""
+    items = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(docs, text).cast("binary").alias("text"), *([F.col(row).alias(ROW)] if row else []))
+    items = (items if row else numbered(items)).select(F.col(ROW).alias("row"), "doc_id", "text")
+    sketched = cut(items.mapInArrow(_sketch, "row long, doc_id long, n long, mark binary, sketch array<long>"), "sketches")
     told = sketched.where("n > 0 and doc_id is not null")
-    classes = told.groupBy("mark").agg(F.min("doc_id").alias("rep"))
-    reps = cut(told.join(classes, (told["mark"] == classes["mark"]) & (told["doc_id"] == classes["rep"])).select("rep", "n", "sketch").dropDuplicates(["rep"]), "classes")
-    comps = _Search(docs, text, reps).run()
-    classes = classes.select(F.col("mark").alias("c_mark"), "rep")
-    if comps is not None:
-        classes = classes.join(comps, classes["rep"] == comps["node"], "left").select("c_mark", F.coalesce("component", "rep").alias("rep"))
-    x = sketched.select("doc_id", "n", F.when(F.col("n") > 0, F.col("mark")).alias("mark")).join(classes, F.col("mark") == F.col("c_mark"), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))
-    return x.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    classes = cut(told.groupBy("mark").agg(F.min(F.struct("doc_id", "row")).alias("f")).select("mark", F.col("f.doc_id").alias("least"), F.col("f.row").alias("rep")), "classes")
+    reps = only(told, "row", classes.select("rep")).select(F.col("row").alias("rep"), "n", "sketch")
+    comps = _Search(items.select("row", "text"), reps).run()
+    if comps is None:
+        placed = classes.select("mark", "least", F.col("rep").alias("group"))
+    else:
+        classes = classes.join(comps, classes["rep"] == comps["node"], "left").select("mark", "least", F.coalesce("component", "rep").alias("group"))
+        low = classes.groupBy("group").agg(F.min("least").alias("least")).withColumnRenamed("group", "l_group")
+        placed = classes.join(low, classes["group"] == low["l_group"]).select("mark", low["least"], "group")
+    placed = placed.withColumnRenamed("mark", "c_mark")
+    x = sketched.select("row", "doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("mark")).alias("mark"))
+    x = x.join(placed, x["mark"] == placed["c_mark"], "left")
+    component = F.coalesce("least", "doc_id")
+    return x.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), *(["group", F.col("row").alias(row)] if row else []))

@@ -38,6 +38,8 @@ LEAST_BYTES = 100
 ROLL_BYTES = 16 << 20
 DICT_BYTES, DICT_PAGES, DICT_PAGE_BYTES = 64 << 10, 300, 64 << 10
 DATE = "2024-01-01T00:00:00Z"
+#: Records decode to at most so many bytes.
+MOST_BYTES = 1 << 30
 SAME = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -155,25 +157,49 @@ def parse_record(data: bytes, at: int = 0) -> Record:
     return Record(headers, http, payload, at)
 
 
+def _plain(reader: zstandard.ZstdDecompressor, frame: memoryview, at: int) -> bytes:
+    """What a frame decodes to; frames of streaming writers don't say how much that is."""
+    try:
+        said = zstandard.frame_content_size(frame)
+        if said > MOST_BYTES:
+            raise BadRecord(f"the frame at {at} has {said} bytes, more than {MOST_BYTES}")
+        if said > 0:
+            return reader.decompress(frame)
+        parts, size = [], 0
+        with reader.stream_reader(frame) as stream:
+            while part := stream.read(1 << 20):
+                parts.append(part)
+                size += len(part)
+                if size > MOST_BYTES:
+                    raise BadRecord(f"the frame at {at} has more than {MOST_BYTES} bytes")
+        return b"".join(parts)
+    except zstandard.ZstdError as e:
+        raise BadRecord(f"the frame at {at} can't be decoded: {e}") from e
+
+
+def _skippable_end(data: memoryview, at: int) -> int | None:
+    """Where the skippable frame at `at` ends, None if there is none."""
+    if len(data) < at + 8 or struct.unpack_from("<I", data, at)[0] & 0xFFFFFFF0 != SKIPPABLE & 0xFFFFFFF0:
+        return None
+    end = at + 8 + struct.unpack_from("<I", data, at + 4)[0]
+    if end > len(data):
+        raise BadRecord(f"the skippable frame at {at} is cut off")
+    return end
+
+
 def read_archive(content: bytes) -> Iterator[Record]:
-    """The records of an archive, one frame decoded at a time."""
+    """The records of an archive, one frame decoded at a time. Skippable frames but the dictionary's are passed over."""
     data, at, dictionary = memoryview(content), 0, None
     if len(data) >= 8 and struct.unpack_from("<I", data)[0] == SKIPPABLE:
-        size = struct.unpack_from("<I", data, 4)[0]
-        at = 8 + size
-        if at > len(data):
-            raise BadRecord("the dictionary is cut off")
+        at = _skippable_end(data, 0)
         dictionary = bytes(data[8:at])
         if struct.unpack_from("<I", dictionary.ljust(4, b"\0"))[0] == FRAME:  # it may be compressed itself
             dictionary = zstandard.ZstdDecompressor().decompress(dictionary, max_output_size=1 << 27)
     reader = zstandard.ZstdDecompressor(**({"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}))
     while at < len(data):
-        end = frame_end(data, at)
-        try:
-            plain = reader.decompress(data[at:end])
-        except zstandard.ZstdError as e:
-            raise BadRecord(f"the frame at {at} can't be decoded: {e}") from e
-        yield parse_record(plain, at)
+        if (end := _skippable_end(data, at)) is None:
+            end = frame_end(data, at)
+            yield parse_record(_plain(reader, data[at:end], at), at)
         at = end
 
 

@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from emberline.llm import neardup
 from emberline.llm.components import connected_components
 from emberline.llm.exact_dedup import CuckooIndex, digest_table, exact_dedup, group_index, update_index
@@ -55,14 +56,17 @@ def test_exact_with_a_hot_text(spark):
 
 
 def test_index_table_takes_deletions(spark):
-    docs = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "c"), (7, "c"), (9, "c")], "doc_id long, text string")
     index = group_index(digest_table(docs))
     sha = lambda t: hashlib.sha256(t.encode()).digest()
-    gone = spark.createDataFrame([(sha("a"), 1), (sha("b"), None)], "digest binary, copies long")
-    left = update_index(index, deleted=gone)
-    assert [(bytes(r.digest), r.keep_id, r.copies) for r in left.collect()] == [(sha("a"), 1, 1)]
+    gone = spark.createDataFrame([(sha("a"), 1), (sha("b"), None), (sha("c"), 1)], "digest binary, copies long")
+    rest = digest_table(docs.where("doc_id not in (1, 3, 9)"))
+    left = update_index(index, deleted=gone, live=rest)
+    assert {bytes(r.digest): (r.keep_id, r.copies) for r in left.collect()} == {sha("a"): (2, 1), sha("c"): (4, 2)}
     again = update_index(left, added=spark.createDataFrame([(sha("b"), 9, 1)], "digest binary, keep_id long, copies long"))
-    assert {bytes(r.digest): r.keep_id for r in again.collect()} == {sha("a"): 1, sha("b"): 9}
+    assert {bytes(r.digest): r.keep_id for r in again.collect()} == {sha("a"): 2, sha("b"): 9, sha("c"): 4}
+    with pytest.raises(ValueError):
+        update_index(index, deleted=gone)
 
 
 def test_components(spark):

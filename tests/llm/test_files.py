@@ -98,6 +98,19 @@ def test_token_files_hold_what_the_library_says(spark):
         at += len(ids)
 
 
+def test_few_tasks_write_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(tokenfile, "SHARD_CHARS", 2000)
+    monkeypatch.setattr(tokenfile, "PARTITIONS", 2)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    folder = shared_path(spark, "tokens-test")
+    manifest = tokenfile.write_tokens(docs, folder)
+    rows = manifest.collect()
+    assert len({r.shard for r in rows}) <= 2 and len(rows) > 4 and sum(r.docs for r in rows) == docs.count()
+    got = sorted(tokenfile.read_tokens(manifest, folder).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted(r.doc_id for r in docs.select("doc_id").collect())
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
+
+
 def test_shards_are_ordered_and_have_bases(spark, monkeypatch):
     monkeypatch.setattr(tokenfile, "SHARD_CHARS", 2000)
     docs = spark.createDataFrame([(k, f"word{k} " * (k % 40)) for k in range(300)], "doc_id long, text string").repartition(6)
@@ -107,8 +120,8 @@ def test_shards_are_ordered_and_have_bases(spark, monkeypatch):
     got = sorted(tokenfile.read_tokens(manifest, folder).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in got] == list(range(300))
     assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:], strict=False))
-    row = manifest.where("docs > 0").orderBy("shard").first()
-    shard = tokenfile.Shard(f"{folder}/{row.shard:06d}-{row.attempt}")
+    row = manifest.orderBy("shard", "nth").first()
+    shard = tokenfile.Shard(f"{folder}/{row.shard:06d}-{row.nth:05d}-{row.attempt}")
     assert shard.tokens.dtype == np.dtype("<u2") and len(shard) == row.docs and shard[0][-1] == 1
 
 
@@ -245,3 +258,29 @@ def test_exact_fills_come_from_the_index(monkeypatch):
         for n, k in parts:
             used[n] += times * k
     assert (used == counts).all() and plan.sequences == sum(t for t, _, _ in plan.patterns)
+
+
+def test_frames_of_streaming_writers_are_read():
+    known = b"<html><body>some words that pages share</body></html>" * 20
+    words = {"dict_data": zstandard.ZstdCompressionDict(known)}
+    records = [warc.make_record(k, "http://a.org/", payload, warc.hashlib.sha256(payload).hexdigest()) for k, payload in enumerate((b"a" * 300, b"", b"b" * 3_000_000))]
+    content = warc.opening(known)
+    for record in records:
+        out = zstandard.ZstdCompressor(write_content_size=False, **words).compressobj()
+        frame = out.compress(record) + out.flush()
+        assert zstandard.frame_content_size(frame) == -1
+        content += frame + struct.pack("<II", 0x184D2A50, 3) + b"xyz"
+    assert [len(r.payload) for r in warc.read_archive(content)] == [300, 0, 3_000_000]
+    with pytest.raises(warc.BadRecord):
+        list(warc.read_archive(content[:-2]))
+    with pytest.raises(warc.BadRecord):
+        list(warc.read_archive(content[: len(content) // 2]))
+
+
+def test_records_are_bounded(monkeypatch):
+    monkeypatch.setattr(warc, "MOST_BYTES", 1000)
+    record = warc.make_record(1, None, b"a" * 5000, warc.hashlib.sha256(b"a" * 5000).hexdigest())
+    out = zstandard.ZstdCompressor(write_content_size=False).compressobj()
+    for frame in (zstandard.ZstdCompressor().compress(record), out.compress(record) + out.flush()):
+        with pytest.raises(warc.BadRecord):
+            list(warc.read_archive(frame))
