@@ -2,8 +2,10 @@
 
 The field is exp(-t (I - D^-1/2 W D^-1/2)) s as a Chebyshev series in M = -D^-1/2 W D^-1/2. Each order is one
 sparse matrix-vector product: a join on the column and a sum by row. A graph of at most KERNEL_ENTRIES stored
-entries, which is counted first, is run in one numpy task; a larger one by joins, with each order's vectors written
-to the shared folder, so that plans stay short and no executor's loss undoes the work.
+entries, which is counted first, is run in one numpy task; a larger one by joins, with each order's vector written
+to the shared folder, so that plans stay short and no executor's loss undoes the work. Either way every node of the graph
+and every seed has a row. Vectors keeps what it has made: a later time combines it anew, and a higher order goes on from
+its last two vectors.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.functions.kernel import choose_order, coefficient
-from emberline.sources.lineage import cut
+from emberline.sources.lineage import Steps, cut
 
 KERNEL_ENTRIES = 2_000_000
 
@@ -41,67 +43,98 @@ def multiply(m: DataFrame, x: DataFrame) -> DataFrame:
     return m.join(x.toDF("x_i", "v"), F.col("j") == F.col("x_i")).groupBy("i").agg(F.sum(F.col("m") * F.col("v")).alias("v"))
 
 
-def _kernel(order: int, weights: list[float] | None):
-    """One task: entries (i, j, w) of the adjacency, seeds as rows (i, null, v). The field, or all orders if there are no weights."""
+def _kernel(first: int, order: int, weights: list[float] | None):
+    """One task: rows (i, j, w, k) that are entries of the adjacency (k is null) or numbers of the vectors first - 2 and
+    first - 1 (or, if first is 0, of the seeds). Yields the orders from `first` on, or the field if there are weights."""
 
     def run(batches):
         table = pa.Table.from_batches(list(batches))
         i, v = table["i"].to_numpy(), table["w"].to_numpy()
-        seed = np.asarray(table["j"].is_null())
-        j = table["j"].fill_null(0).to_numpy()
-        nodes = np.unique(np.concatenate([i, j[~seed]])) if len(i) else np.zeros(0, np.int64)
-        row, col, w = np.searchsorted(nodes, i[~seed]), np.searchsorted(nodes, j[~seed]), v[~seed]
+        given = np.asarray(table["k"].is_valid())
+        j, step = table["j"].fill_null(0).to_numpy(), table["k"].fill_null(-1).to_numpy()
+        nodes = np.unique(np.concatenate([i, j[~given]])) if len(i) else np.zeros(0, np.int64)
+        row, col, w = np.searchsorted(nodes, i[~given]), np.searchsorted(nodes, j[~given]), v[~given]
         degree = np.bincount(row, w, len(nodes))
         w = -w / np.sqrt(degree[row] * degree[col])
-        last = np.bincount(np.searchsorted(nodes, i[seed]), v[seed], len(nodes)).astype(float)
+        vector = lambda k: np.bincount(np.searchsorted(nodes, i[step == k]), v[step == k], len(nodes)).astype(float)
         product = lambda x: np.bincount(row, w * x[col], len(nodes))
-        now = product(last)
-        total = weights[0] * last + (weights[1] * now if order else 0) if weights else None
-        out = [last, now][: order + 1]
-        for k in range(2, order + 1):
-            last, now = now, 2 * product(now) - last
-            if weights:
-                total = total + weights[k] * now
-            else:
-                out.append(now)
+        two = [vector(max(first - 2, 0)), vector(first - 1)] if first > 1 else [np.zeros(len(nodes)), vector(0)]
+        total = weights[0] * two[1] if weights else None
+        for k in range(first, order + 1):
+            if k:
+                two = [two[1], product(two[1]) if k == 1 else 2 * product(two[1]) - two[0]]
+                if weights:
+                    total = total + weights[k] * two[1]
+            if not weights:
+                yield pa.record_batch([pa.array(np.full(len(nodes), k, np.int32)), pa.array(nodes), pa.array(two[1])], names=["k", "i", "v"])
         if weights:
             yield pa.record_batch([pa.array(nodes), pa.array(total)], names=["i", "v"])
-        else:
-            for k, x in enumerate(out):
-                yield pa.record_batch([pa.array(np.full(len(nodes), k, np.int32)), pa.array(nodes), pa.array(x)], names=["k", "i", "v"])
 
     return run
 
 
-def _one_task(adj: DataFrame, seeds: DataFrame) -> DataFrame:
-    rows = adj.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("w").cast("double").alias("w"))
-    return rows.unionByName(seeds.select(F.col("i").cast("long").alias("i"), F.lit(None).cast("long").alias("j"), F.col("v").cast("double").alias("w"))).repartition(1)
+def _one_task(adj: DataFrame, given: DataFrame) -> DataFrame:
+    """given: i, v, k."""
+    rows = adj.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("w").cast("double").alias("w"), F.lit(None).cast("int").alias("k"))
+    return rows.unionByName(given.select(F.col("i").cast("long").alias("i"), F.lit(None).cast("long").alias("j"), F.col("v").cast("double").alias("w"), F.col("k").cast("int").alias("k"))).repartition(1)
 
 
 def _is_small(adj: DataFrame, limit: int) -> bool:
     return adj.limit(limit + 1).count() <= limit
 
 
+class Vectors:
+    """The vectors T_k(M) s, k = 0, 1, ..., of seeds s (i, v), kept as they are made."""
+
+    def __init__(self, adj: DataFrame, seeds: DataFrame, kernel_entries: int = KERNEL_ENTRIES):
+        self.adj, self.seeds, self.order = cut(adj, "adjacency"), seeds, -1
+        self.small = _is_small(self.adj, kernel_entries)
+        self.steps, self.m = Steps(adj.sparkSession, "vectors"), None
+
+    def extend(self, order: int) -> Vectors:
+        """Makes what is missing up to the order."""
+        if order > self.order:
+            if self.small:
+                given = self.table().where(F.col("k") > self.order - 2) if self.order > 0 else self.seeds.withColumn("k", F.lit(0))
+                first = self.order + 1 if self.order > 0 else 0
+                made = _one_task(self.adj, given).mapInArrow(_kernel(first, order, None), "k int, i long, v double")
+                if not first:
+                    self.steps = Steps(self.adj.sparkSession, "vectors")
+                self.steps.add(made)
+            else:
+                for k in range(self.order + 1, order + 1):
+                    self._join(k)
+            self.order = order
+        return self
+
+    def _join(self, k: int) -> None:
+        if self.m is None:
+            self.m = cut(scaled(self.adj), "heat-matrix")
+        zero = F.lit(0.0).alias("v")
+        if k == 0:
+            parts = self.seeds.select("i", F.col("v").cast("double").alias("v")).unionByName(self.adj.select("i", zero))
+        else:
+            now = self._one(k - 1)
+            before = now.select("i", zero) if k == 1 else self._one(k - 2).select("i", (-F.col("v")).alias("v"))
+            parts = multiply(self.m, now).select("i", (F.col("v") * (1 if k == 1 else 2)).alias("v")).unionByName(before)
+        self.steps.add(parts.groupBy(F.col("i").cast("long").alias("i")).agg(F.sum("v").alias("v")).select(F.lit(k).alias("k"), "i", "v"))
+
+    def _one(self, k: int) -> DataFrame:
+        return self.steps.spark.read.schema(self.steps.schema).parquet(self.steps.paths[k]).select("i", "v")
+
+    def table(self) -> DataFrame:
+        """k, i, v of all orders so far."""
+        return self.steps.table()
+
+    def field(self, t: float, order: int | None = None) -> DataFrame:
+        """i, v: the heat at time t."""
+        order = choose_order(t) if order is None else order
+        return retime(self.extend(order).table(), t, order)
+
+
 def chebyshev(adj: DataFrame, seeds: DataFrame, order: int, kernel_entries: int = KERNEL_ENTRIES) -> DataFrame:
     """k, i, v: the vectors T_k(M) s, k = 0..order. seeds: i, v."""
-    adj = cut(adj, "adjacency")
-    if _is_small(adj, kernel_entries):
-        return _one_task(adj, seeds).mapInArrow(_kernel(order, None), "k int, i long, v double")
-    m = cut(scaled(adj), "heat-matrix")
-    last = cut(seeds.groupBy("i").agg(F.sum("v").cast("double").alias("v")), "heat-0")
-    out = [last]
-    now = cut(multiply(m, last), "heat-1") if order else None
-    for k in range(2, order + 1):
-        out.append(now)
-        both = multiply(m, now).select("i", (2 * F.col("v")).alias("v")).unionByName(last.select("i", (-F.col("v")).alias("v")))
-        last, now = now, cut(both.groupBy("i").agg(F.sum("v").alias("v")), f"heat-{k}")
-    if now is not None:
-        out.append(now)
-    rows = [x.select(F.lit(k).alias("k"), "i", "v") for k, x in enumerate(out)]
-    union = rows[0]
-    for x in rows[1:]:
-        union = union.unionByName(x)
-    return union
+    return Vectors(adj, seeds, kernel_entries).extend(order).table()
 
 
 def retime(vectors: DataFrame, t: float, order: int) -> DataFrame:
@@ -115,5 +148,5 @@ def heat_field(adj: DataFrame, seeds: DataFrame, t: float, order: int | None = N
     order = choose_order(t) if order is None else order
     adj = cut(adj, "adjacency")
     if _is_small(adj, kernel_entries):
-        return _one_task(adj, seeds).mapInArrow(_kernel(order, [coefficient(k, t) for k in range(order + 1)]), "i long, v double")
-    return retime(chebyshev(adj, seeds, order, kernel_entries), t, order)
+        return _one_task(adj, seeds.withColumn("k", F.lit(0))).mapInArrow(_kernel(0, order, [coefficient(k, t) for k in range(order + 1)]), "i long, v double")
+    return Vectors(adj, seeds, kernel_entries).field(t, order)

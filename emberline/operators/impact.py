@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from emberline.functions import fixed
 from emberline.functions.text import lookup
 from emberline.operators.ranking import global_rank
-from emberline.sources.lineage import cut
+from emberline.sources.lineage import Steps, cut
 
 
 def masses(nodes: DataFrame, field: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -24,7 +24,7 @@ def masses(nodes: DataFrame, field: DataFrame, seeds: DataFrame) -> DataFrame:
 def file_mass(warm: DataFrame, names: int = 3) -> DataFrame:
     """file, mass, top: the files that aren't seeds, with their warmest symbols."""
     x = warm.where("place = 'other'")
-    rank = F.row_number().over(Window.partitionBy("file").orderBy(F.desc("v"), "i"))
+    rank = F.row_number().over(Window.partitionBy("file").orderBy(F.desc(F.round("v", 10)), "i"))
     top = x.where("kind <> 'file'").withColumn("rank", rank).where(F.col("rank") <= names).groupBy("file").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "name"))), lambda s: s["name"]), ", ").alias("top"))
     mass = x.groupBy("file").agg(F.sum("v").alias("mass"))
     return mass.join(top.withColumnRenamed("file", "t_file"), F.col("file") == F.col("t_file"), "left").select("file", "mass", F.coalesce("top", F.lit("")).alias("top"))
@@ -42,15 +42,35 @@ def direct_reasons(edges: DataFrame, nodes: DataFrame, seeds: DataFrame) -> Data
     return x.select(F.when(far, F.col("b")).otherwise(F.col("a")).alias("node"), F.when(far, F.col("fb")).otherwise(F.col("fa")).alias("file"), "reason", "pos")
 
 
-def path_reasons(edges: DataFrame, seeds: DataFrame, levels: int = 64) -> DataFrame:
+def reviewed(files: DataFrame, direct: DataFrame, far: DataFrame | None = None, partners: DataFrame | None = None) -> DataFrame:
+    """files (file, mass, top) with reasons: those of its direct edges (direct_reasons), else those of the first path to it
+    (far: file, reasons), else that there is none; first of all history, where the file is a partner (partners: partner)."""
+    near = direct.groupBy(F.col("file").alias("r_file")).agg(F.array_sort(F.collect_set("reason")).alias("r"), F.min_by("reason", "pos").alias("first"))
+    # as many reasons as there are kinds of edges; that of the first edge leads
+    near = near.select("r_file", F.array_distinct(F.concat(F.array("first"), "r")).alias("r"))
+    x = files.join(near, files["file"] == near["r_file"], "left")
+    none = F.lit(None).cast("array<string>").alias("q")
+    x = x.select("file", "mass", "top", "r", none) if far is None else x.join(far.toDF("q_file", "q"), x["file"] == F.col("q_file"), "left").select("file", "mass", "top", "r", "q")
+    told = F.coalesce("r", "q")
+    reasons = F.coalesce(told, F.array(F.lit(fixed.NO_REASON)))
+    if partners is not None:
+        x = x.join(partners.select("partner").distinct(), x["file"] == F.col("partner"), "left")
+        history = F.array_distinct(F.concat(F.array(F.lit(fixed.HISTORY_REASON)), F.coalesce(told, F.array().cast("array<string>"))))
+        reasons = F.when(F.col("partner").isNotNull(), history).otherwise(reasons)
+    return x.select("file", "mass", "top", reasons.alias("reasons"))
+
+
+def path_reasons(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """node, level, reasons: kinds of edges along the first shortest path from a seed, breadth first. From each node the
     edges go out with containment last, then by weight and target; nodes keep the order in which they are met.
-    edges: pos, a, b, kind, w; seeds: i, pos. One join per level, over what is new."""
+    edges: pos, a, b, kind, w; seeds: i, pos. One join per level, over what is new, until nothing is."""
     ways = edges.select("a", F.col("b").alias("to"), "kind", "w", "pos").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("to"), "kind", "w", "pos"))
     ways = cut(ways.withColumn("reason", lookup(fixed.REASONS, F.col("kind"))), "ways")
-    seen = cut(seeds.groupBy(F.col("i").alias("node")).agg(F.min("pos").cast("long").alias("place")).select("node", "place", F.lit(0).alias("level"), F.array().cast("array<string>").alias("reasons")), "bfs-0")
-    frontier = seen
-    for level in range(1, levels + 1):
+    steps = Steps(edges.sparkSession, "bfs")
+    frontier = steps.add(seeds.groupBy(F.col("i").alias("node")).agg(F.min("pos").cast("long").alias("place")).select("node", "place", F.lit(0).alias("level"), F.array().cast("array<string>").alias("reasons")))
+    level = 0
+    while frontier.head(1):
+        level, seen = level + 1, steps.table()
         f = frontier.select(F.col("node").alias("f_node"), F.col("place").alias("f_place"), "reasons")
         x = ways.join(f, ways["a"] == f["f_node"])
         x = x.join(seen.select(F.col("node").alias("s_node")), x["to"] == F.col("s_node"), "left_anti")
@@ -59,11 +79,8 @@ def path_reasons(edges: DataFrame, seeds: DataFrame, levels: int = 64) -> DataFr
         new = x.groupBy(F.col("to").alias("node")).agg(first)
         # a place that keeps the order of discovery: the parent's order, then the edge's
         met = new.select("node", F.col("m.f_place").alias("f_place"), F.col("m.last").alias("last"), F.col("m.w").alias("w"), F.col("m.told").alias("reasons"))
-        frontier = cut(global_rank(met, "f_place", "last", "w", "node").select("node", F.col("rank").alias("place"), F.lit(level).alias("level"), "reasons"), f"bfs-{level}")
-        if not frontier.head(1):
-            break
-        seen = seen.unionByName(frontier)
-    return seen.select("node", "level", "reasons")
+        frontier = steps.add(global_rank(met, "f_place", "last", "w", "node").select("node", F.col("rank").alias("place"), F.lit(level).alias("level"), "reasons"))
+    return steps.table().select("node", "level", "reasons")
 
 
 def warmed(warm: DataFrame, reasons: DataFrame, cap: int = fixed.MAX_WARMED) -> DataFrame:

@@ -19,7 +19,7 @@ def directory_groups(nodes: DataFrame, field: DataFrame, claimed: DataFrame) ->
     """label, mass, files, top of the nodes that no other group claims. claimed: i."""
     c = claimed.select(F.col("i").alias("c_i")).distinct()
     x = nodes.where("kind <> 'anchor'").join(c, nodes["i"] == c["c_i"], "left_anti").join(field.toDF("f_i", "v"), F.col("i") == F.col("f_i")).withColumn("label", directory(F.col("file")))
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("v"), "i"))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.desc(F.round("v", 10)), "i"))
     top = x.where("kind <> 'file'").withColumn("rank", rank).where("rank <= 3").groupBy("label").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "name"))), lambda s: s["name"]), ", ").alias("top"))
     sums = x.groupBy("label").agg(F.sum("v").alias("mass"), F.countDistinct("file").alias("files"), F.bool_and(is_test_scope(F.col("file"))).alias("test"))
     return sums.join(top.withColumnRenamed("label", "t_label"), F.col("label") == F.col("t_label"), "left").select("label", (F.col("mass") * F.when(F.col("test"), TEST_SHARE).otherwise(1.0)).alias("mass"), "files", F.coalesce("top", F.lit("")).alias("top"))
@@ -29,9 +29,9 @@ def opening_seeds(nodes: DataFrame, conductance: DataFrame, routes: DataFrame) -
     """i of at most MAX_SKETCH_SEEDS seeds: production routes, then the MAX_HUBS best-connected nodes outside tests."""
     d = conductance.toDF("d_i", "d")
     placed = nodes.join(d, nodes["i"] == d["d_i"])
-    hubs = placed.where(~is_test_scope(F.col("file"))).orderBy(F.desc("d"), "i").limit(fixed.MAX_HUBS).select("i")
+    hubs = placed.where(~is_test_scope(F.col("file"))).orderBy(F.desc(F.round("d", 9)), "i").limit(fixed.MAX_HUBS).select("i")
     if not hubs.head(1):
-        hubs = placed.orderBy(F.desc("d"), "i").limit(fixed.MAX_HUBS).select("i")
+        hubs = placed.orderBy(F.desc(F.round("d", 9)), "i").limit(fixed.MAX_HUBS).select("i")
     both = routes.select("i", F.lit(0).alias("o")).unionByName(hubs.select("i", F.lit(1).alias("o"))).groupBy("i").agg(F.min("o").alias("o"))
     return both.orderBy("o", "i").limit(fixed.MAX_SKETCH_SEEDS).select("i")
 
@@ -40,7 +40,7 @@ def sketch(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """label, mass, detail of all groups."""
     adj = cut(heat.adjacency(edges), "adjacency")
     degree = heat.degrees(adj)
-    near = cut(basins.neighbours(edges), "near")
+    near = basins.ends(edges)
     place = nodes.select(F.col("i").alias("n_i"), "file", "name", "kind")
     reach = near.select("i", "j").unionByName(nodes.select("i", F.col("i").alias("j")))
     anchors = nodes.where("kind = 'anchor'").select(F.col("i").alias("a_i"), F.col("name").alias("a_name"), F.concat_ws(":", "file", F.col("line").cast("string")).alias("at"))
@@ -60,7 +60,7 @@ def sketch(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         code = nodes.where(~is_test_scope(F.col("file"))).select("i", "kind")
         inside = code.select(F.col("i").alias("k_i"))
         scored = basins.candidates(near, degree).join(code.where(~F.col("kind").isin("file", "anchor")).select(F.col("i").alias("k_i")), F.col("i") == F.col("k_i"), "left_semi")
-        regions = cut(basins.grow(near.join(inside, near["j"] == inside["k_i"], "left_semi"), scored, n), "regions")
+        regions = basins.grow(near, scored, n, inside.withColumnRenamed("k_i", "i"))
         x = regions.join(place, F.col("member") == F.col("n_i")).join(field.toDF("f_i", "v"), F.col("member") == F.col("f_i"))
         best = F.max(F.when(F.col("kind") != "file", F.struct("v", "name")))["name"]
         out = out.unionByName(x.groupBy("seed").agg(F.concat(F.lit("◈ region "), F.coalesce(best, F.first("name"))).alias("label"), F.sum("v").alias("mass"), F.format_string("%d nodes · %d files", F.count("*"), F.countDistinct("file")).alias("detail")).select("label", "mass", "detail"))

@@ -10,6 +10,7 @@ from emberline.functions.kernel import bessel_i, choose_order, coefficient, coef
 from emberline.operators import basins, graph, heat, impact, literal_index, reveal, seeds
 from emberline.operators.ranking import global_rank
 from emberline.plans.bindings import ADJ_SQL, EDGES_SQL, KEYS_SQL, NODES_SQL, heat_sql, key_graph, page_literals, table
+from emberline.plans.files_and_names import SCOPE
 from emberline.plans.registry import query, values
 from emberline.sources.lineage import cut
 
@@ -64,13 +65,25 @@ def c14_literal_seeds(spark, sf):
     return seeds.literal_seeds(keys, occ, LITERAL_QUERY).groupBy("i").agg(F.max("score").alias("score"))
 
 
-FOCUS_SQL = f"""WITH RECURSIVE {KEYS_SQL}, {ADJ_SQL},
+FOCUS_CTES = f"""WITH RECURSIVE {KEYS_SQL}, {ADJ_SQL},
 {heat_sql(f"SELECT DISTINCT node AS i, 1.0::DOUBLE AS v FROM occ WHERE key = '{LITERAL_QUERY}'", 2.0, 21, coefficients(2.0, 21))},
 lit AS (SELECT i, v, v / (SELECT max(v) FROM field) AS h, i IN (SELECT i FROM seed) AS is_seed FROM field),
 rel AS (SELECT DISTINCT j AS i FROM adj WHERE i IN (SELECT i FROM seed) AND j NOT IN (SELECT i FROM seed)),
 kept AS (SELECT lit.*, rel.i IS NOT NULL AS semantic FROM lit LEFT JOIN rel ON rel.i = lit.i WHERE rel.i IS NOT NULL OR (h >= 0.002 AND v >= 1e-9)),
-placed AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN is_seed THEN 2 WHEN semantic THEN 1 ELSE 0 END DESC, round(v, 10) DESC, 'page/' || i, i) AS rank FROM kept)
-SELECT rank::INT AS rank, i, round(h, 6) AS h, CASE WHEN is_seed THEN 'focus' WHEN semantic THEN 'direct' WHEN h >= 0.3 THEN 'hot' WHEN h >= 0.02 THEN 'warm' ELSE 'glow' END AS role FROM placed WHERE rank <= 400"""
+placed AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN is_seed THEN 2 WHEN semantic THEN 1 ELSE 0 END DESC, round(v, 10) DESC, 'page/' || i, i) AS rank FROM kept),
+roles AS (SELECT *, 'page/' || i AS file, CASE WHEN is_seed THEN 'focus' WHEN semantic THEN 'direct' WHEN h >= 0.3 THEN 'hot' WHEN h >= 0.02 THEN 'warm' ELSE 'glow' END AS role FROM placed WHERE rank <= 400)"""
+FOCUS_SQL = f"{FOCUS_CTES} SELECT rank::INT AS rank, i, round(h, 6) AS h, role FROM roles"
+BUDGET = 512
+FITTING_SQL = f"""{FOCUS_CTES}, items AS (
+  SELECT rank, CASE WHEN is_seed THEN '▪ ' || file || '  [focus]' WHEN h >= 0.3 AND semantic THEN '▪ ' || file || '  [↔ shared literal]' WHEN h >= 0.3 THEN '▪ ' || file
+    WHEN semantic THEN '  ↔ shared literal  ' || file || ' (file) ' || file ELSE '  · ' || file || ' (file) ' || file END AS line FROM roles WHERE role <> 'glow'
+  UNION ALL SELECT 10000 + row_number() OVER (ORDER BY file), '  ~ +1 more in ' || file FROM roles WHERE role = 'glow'
+), sized AS (
+  SELECT *, row_number() OVER (ORDER BY rank) AS k, sum(length(line) + 1) OVER (ORDER BY rank) AS upto, (SELECT count(*) FROM roles) AS total FROM items
+), fit AS (
+  SELECT *, ceil(({len(f"focus {LITERAL_QUERY}") + 1} + upto + CASE WHEN total > k THEN {len("X...  more")} + length((total - k)::VARCHAR) ELSE 0 END) / 4.0) <= {BUDGET} AS ok FROM sized
+)
+SELECT rank::BIGINT AS rank, line, k <= coalesce((SELECT max(k) FROM fit WHERE ok), 0) AS shown FROM fit"""
 
 
 def literal_graph(spark, sf):
@@ -94,12 +107,12 @@ def g11_focus(spark, sf):
     return literal_focus(spark, sf).select("rank", "i", F.round("h", 6).alias("h"), "role")
 
 
-@query(None)
+@query(FITTING_SQL)
 def e12_budgeted_focus(spark, sf):
-    """The same as text within 512 tokens."""
+    """The same as text within BUDGET tokens."""
     lit = cut(literal_focus(spark, sf), "lit")
     items = reveal.lines(lit)
-    return reveal.fitting(items, len("focus /de\n"), lit.count(), len("\n...  more"), 512).orderBy("rank")
+    return reveal.fitting(items, len(f"focus {LITERAL_QUERY}\n"), lit.count(), len("\n...  more"), BUDGET)
 
 
 # assembly ---------------------------------------------------------------------------------------------------------
@@ -180,9 +193,7 @@ def g2_chebyshev_vectors(spark, sf):
     _, edges = key_graph(spark, sf)
     adj = heat.adjacency(edges)
     vectors = heat.chebyshev(adj, seed_rows(spark), 4, kernel_entries=0)
-    # orders hold no rows for zeros: count all nodes of the graph
-    nodes = adj.select("i").unionByName(seed_rows(spark).select("i")).distinct().agg(F.count("*").alias("n"))
-    return vectors.groupBy("k").agg(F.round(F.sum(F.col("v") * F.col("v")), 6).alias("energy")).crossJoin(nodes).select("k", "n", "energy")
+    return vectors.groupBy("k").agg(F.count("*").alias("n"), F.round(F.sum(F.col("v") * F.col("v")), 6).alias("energy"))
 
 
 @query(f"WITH RECURSIVE {EDGES_SQL}, {ADJ_SQL}, {heat_sql(SEED_SQL, 2.0, 21, coefficients(2.0, 21))} SELECT i, round(v, 6) AS v FROM field")
@@ -195,8 +206,8 @@ def g3_heat_field(spark, sf):
 def g4_retimed_field(spark, sf):
     """The field at t = 4 from vectors kept for t = 2 and extended."""
     _, edges = key_graph(spark, sf)
-    vectors = cut(heat.chebyshev(heat.adjacency(edges), seed_rows(spark), choose_order(4.0)), "vectors")
-    return heat.retime(vectors, 4.0, choose_order(4.0)).select("i", (F.round("v", 6) + 0.0).alias("v"))
+    vectors = heat.Vectors(heat.adjacency(edges), seed_rows(spark)).extend(choose_order(2.0))
+    return vectors.field(4.0).select("i", (F.round("v", 6) + 0.0).alias("v"))
 
 
 @query(values("t DOUBLE, terms INT", [(2.0, 21), (4.0, 25), (16.0, 52), (64.0, 90)]))
@@ -364,7 +375,7 @@ def e2_top_names(spark, sf):
 @query(f"WITH {EDGES_SQL}, near AS (SELECT a AS i, b AS j, kind, w FROM edges UNION ALL SELECT b, a, kind, w FROM edges), r AS (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY kind = 'contains', w DESC, j) AS k FROM near), few AS (SELECT * FROM r WHERE k <= 12), links AS (SELECT DISTINCT i, j FROM near), p AS (SELECT x.i, x.j, y.j AS j2 FROM few x JOIN few y ON x.i = y.i AND x.k < y.k), t AS (SELECT p.i, avg((l.i IS NOT NULL)::INT) AS tri FROM p LEFT JOIN links l ON l.i = p.j AND l.j = p.j2 GROUP BY p.i) SELECT n.i, n.deg, round(coalesce(tri, 0), 6)::DOUBLE AS tri FROM (SELECT i, count(*) AS deg FROM near GROUP BY i) n LEFT JOIN t ON t.i = n.i")
 def d13_triangle_density(spark, sf):
     _, edges = key_graph(spark, sf)
-    return basins.triangle_density(basins.neighbours(edges)).select("i", "deg", F.round("tri", 6).alias("tri"))
+    return basins.triangle_density(basins.ends(edges)).select("i", "deg", F.round("tri", 6).alias("tri"))
 
 
 CLIQUES = [(a, b, 1.0) for k in (0, 5) for a in range(k, k + 5) for b in range(a + 1, k + 5)] + [(4, 5, 0.05)]
@@ -374,7 +385,7 @@ CLIQUES = [(a, b, 1.0) for k in (0, 5) for a in range(k, k + 5) for b in range(a
 def g8_regions(spark, sf):
     """Regions of two five-cliques joined by a weak edge."""
     edges = spark.createDataFrame([(k, a, b, "invokes", w) for k, (a, b, w) in enumerate(CLIQUES)], "pos long, a long, b long, kind string, w double")
-    near = basins.neighbours(edges)
+    near = basins.ends(edges)
     return basins.grow(near, basins.candidates(near, heat.degrees(heat.adjacency(edges))), 10)
 
 
@@ -387,13 +398,24 @@ def f0_group_order(spark, sf):
     return global_rank(groups.withColumn("down", -F.col("mass")), "down", "label").select("label", "mass", "rank")
 
 
-@query(None)
+SKETCH_SQL = f"""WITH RECURSIVE {NODES_SQL}, {EDGES_SQL}, {ADJ_SQL}, near AS (SELECT a AS i, b AS j FROM edges UNION ALL SELECT b, a FROM edges UNION ALL SELECT i, i FROM nodes),
+closure AS (SELECT h.i, h.name, h.file || ':' || h.line AS spot, n.i AS j, n.file FROM nodes h JOIN near ON near.i = h.i JOIN nodes n ON n.i = near.j WHERE h.kind = 'anchor'),
+production AS (SELECT i FROM closure GROUP BY i HAVING bool_or(NOT {SCOPE})),
+hubs AS (SELECT nodes.i FROM nodes JOIN deg ON deg.i = nodes.i WHERE NOT {SCOPE} ORDER BY round(d, 9) DESC, nodes.i LIMIT {fixed.MAX_HUBS}),
+opening AS (SELECT i, min(o) AS o FROM (SELECT i, 0 AS o FROM production UNION ALL SELECT i, 1 FROM hubs) GROUP BY i ORDER BY o, i LIMIT {fixed.MAX_SKETCH_SEEDS}),
+{heat_sql("SELECT i, 1.0::DOUBLE AS v FROM opening", 16.0, choose_order(16.0), coefficients(16.0, choose_order(16.0)))},
+dirs AS (SELECT nodes.*, v, {DIR_SQL} AS label, row_number() OVER (PARTITION BY {DIR_SQL}, kind <> 'file' ORDER BY round(v, 10) DESC, nodes.i) AS k FROM nodes JOIN field ON field.i = nodes.i WHERE kind <> 'anchor' AND nodes.i NOT IN (SELECT j FROM closure))
+SELECT '⚑ ' || name AS label, round(sum(v), 4) AS mass, count(*) || ' nodes · ' || count(DISTINCT file) || ' files · ' || spot AS detail FROM closure JOIN field ON field.i = closure.j WHERE closure.i IN (SELECT i FROM production) GROUP BY closure.i, name, spot
+UNION ALL SELECT label, round(sum(v) * CASE WHEN bool_and({SCOPE}) THEN 0.1 ELSE 1 END, 4), count(DISTINCT file) || ' files · top: ' || coalesce(string_agg(name, ', ' ORDER BY k) FILTER (kind <> 'file' AND k <= 3), '') FROM dirs GROUP BY label"""
+
+
+@query(SKETCH_SQL)
 def g10_sketch(spark, sf):
-    """Groups of the whole key graph by mass: routes with what they reach, regions, directories."""
+    """Groups of the whole key graph by mass: routes with what they reach, and directories."""
     from emberline.operators.sketch import sketch
 
     nodes, edges = key_graph(spark, sf)
-    return sketch(nodes, edges)
+    return sketch(nodes, edges).select("label", F.round("mass", 4).alias("mass"), "detail")
 
 
 # impact -----------------------------------------------------------------------------------------------------------
@@ -407,8 +429,27 @@ def d7_file_mass(spark, sf):
     return impact.file_mass(impact.masses(nodes, field, seed_rows(spark))).select("file", F.round("mass", 6).alias("mass"))
 
 
-@query(f"{IMPACT_SQL} SELECT place, count(*) AS n, round(sum(v), 5) AS mass FROM warm GROUP BY place")
+REASON_SQL = "CASE e.kind WHEN 'invokes' THEN 'call dependency' WHEN 'imports' THEN 'import dependency' ELSE 'shared route' END"
+
+
+@query(f"""{IMPACT_SQL}, mass AS (SELECT file, sum(v) AS mass FROM warm WHERE place = 'other' GROUP BY file),
+named AS (SELECT file, name, row_number() OVER (PARTITION BY file ORDER BY round(v, 10) DESC, i) AS k FROM warm WHERE place = 'other' AND kind <> 'file'),
+top AS (SELECT file, string_agg(name, ', ' ORDER BY k) AS top FROM named WHERE k <= 3 GROUP BY file),
+crossing AS (SELECT p.file AS fa, q.file AS fb, {REASON_SQL} AS reason FROM edges e JOIN nodes p ON p.i = e.a JOIN nodes q ON q.i = e.b WHERE p.file <> q.file AND e.kind <> 'contains'),
+told AS (SELECT CASE WHEN fa IN (SELECT file FROM sf) THEN fb ELSE fa END AS file, reason FROM crossing WHERE (fa IN (SELECT file FROM sf)) <> (fb IN (SELECT file FROM sf))),
+why AS (SELECT file, string_agg(DISTINCT reason, ', ' ORDER BY reason) AS reasons FROM told GROUP BY file)
+SELECT mass.file, round(mass, 6) AS mass, coalesce(top, '') AS top, coalesce(reasons, '{fixed.NO_REASON}') AS reasons, row_number() OVER (ORDER BY round(mass, 9) DESC, mass.file) AS rank FROM mass LEFT JOIN top ON top.file = mass.file LEFT JOIN why ON why.file = mass.file""")
 def g9_impact(spark, sf):
+    """The files that a change of the seeds warms, in the order of review, with their warmest names and what ties them to it."""
+    nodes, edges, field = key_field(spark, sf)
+    warm = impact.masses(nodes, field, seed_rows(spark))
+    found = impact.reviewed(impact.file_mass(warm), impact.direct_reasons(edges, nodes, seed_rows(spark)))
+    ranked = global_rank(found.withColumn("down", -F.round("mass", 9)), "down", "file")
+    return ranked.select("file", F.round("mass", 6).alias("mass"), "top", F.array_join(F.sort_array("reasons"), ", ").alias("reasons"), "rank")
+
+
+@query(f"{IMPACT_SQL} SELECT place, count(*) AS n, round(sum(v), 5) AS mass FROM warm GROUP BY place")
+def g9_warm_places(spark, sf):
     nodes, _, field = key_field(spark, sf)
     return impact.masses(nodes, field, seed_rows(spark)).groupBy("place").agg(F.count("*").alias("n"), F.round(F.sum("v"), 5).alias("mass"))
 
@@ -419,7 +460,7 @@ def g7_direct_reasons(spark, sf):
     return impact.direct_reasons(edges, nodes, seed_rows(spark)).groupBy("node", "reason").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH RECURSIVE {EDGES_SQL}, near AS (SELECT a AS i, b AS j FROM edges UNION SELECT b, a FROM edges), bfs(i, level) AS (SELECT i, 0 FROM ({SEED_SQL}) UNION SELECT near.j, level + 1 FROM bfs JOIN near ON near.i = bfs.i WHERE level < 6) SELECT level::INT AS level, count(*) AS n FROM (SELECT i, min(level) AS level FROM bfs GROUP BY i) GROUP BY level")
+@query(f"WITH RECURSIVE {EDGES_SQL}, near AS (SELECT a AS i, b AS j FROM edges UNION SELECT b, a FROM edges), bfs(i, level) AS (SELECT i, 0 FROM ({SEED_SQL}) UNION SELECT near.j, level + 1 FROM bfs JOIN near ON near.i = bfs.i WHERE level < 16) SELECT level::INT AS level, count(*) AS n FROM (SELECT i, min(level) AS level FROM bfs GROUP BY i) GROUP BY level")
 def g6_path_reasons(spark, sf):
     _, edges = key_graph(spark, sf)
     x = impact.path_reasons(edges, seed_rows(spark).select("i", F.col("i").alias("pos")))

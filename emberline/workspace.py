@@ -27,18 +27,15 @@ class Workspace:
         self.spark = files.sparkSession
         self.t = FOCUS_T
         self.seeds: DataFrame | None = None
-        self.vectors: DataFrame | None = None
-        self.order = 0
+        self.vectors: heat.Vectors | None = None
         self.disclosed = self.spark.createDataFrame([], "i long")
         self.scope: dict = {}
         self.asked: tuple = ()
 
     def _field(self, t: float) -> DataFrame:
-        need = choose_order(t)
-        if self.vectors is None or need > self.order:
-            self.order = max(ORDER, need)
-            self.vectors = cut(heat.chebyshev(self.graph.adj, self.seeds.select("i", F.lit(1.0).alias("v")), self.order), "vectors")
-        return heat.retime(self.vectors, t, self.order)
+        if self.vectors is None:
+            self.vectors = heat.Vectors(self.graph.adj, self.seeds.select("i", F.lit(1.0).alias("v")))
+        return self.vectors.field(t, max(ORDER, choose_order(t)))
 
     def _shown(self, header: str, budget: int | None, repeat: bool) -> tuple[str, DataFrame]:
         from emberline.functions.text import in_scope
@@ -105,13 +102,8 @@ class Workspace:
         first = direct.groupBy("node").agg(F.min_by("reason", "pos").alias("reason"))
         by_node = paths.join(first.toDF("d_node", "reason"), F.col("node") == F.col("d_node"), "full_outer").select(F.coalesce("node", "d_node").alias("node"), F.when(F.col("reason").isNotNull(), F.array("reason")).otherwise(F.col("reasons")).alias("r"))
         place = g.nodes.select(F.col("i").alias("n_i"), F.col("file").alias("n_file"))
-        near = direct.groupBy("file").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "reason"))), lambda s: s["reason"]).alias("x")).select(F.col("file").alias("r_file"), F.array_distinct("x").alias("r"))
-        far = paths.where(F.size("reasons") > 0).join(place, F.col("node") == F.col("n_i")).groupBy("n_file").agg(F.min_by("reasons", F.struct("level", "node")).alias("x")).select(F.col("n_file").alias("q_file"), F.slice("x", 1, 3).alias("q"))
-        files_ = impact.file_mass(warm)
-        x = files_.join(near, F.col("file") == F.col("r_file"), "left").join(far, F.col("file") == F.col("q_file"), "left").join(partners.select("partner"), F.col("file") == F.col("partner"), "left")
-        told = F.coalesce("r", "q", F.array(F.lit(fixed.NO_REASON)))
-        reasons = F.when(F.col("partner").isNotNull(), F.array_distinct(F.concat(F.array(F.lit(fixed.HISTORY_REASON)), F.coalesce("r", "q", F.array().cast("array<string>"))))).otherwise(told)
-        warmed_files = cut(x.select("file", "mass", "top", reasons.alias("reasons")), "warm-files")
+        far = paths.where(F.size("reasons") > 0).join(place, F.col("node") == F.col("n_i")).groupBy("n_file").agg(F.slice(F.min_by("reasons", F.struct("level", "node")), 1, 3).alias("x"))
+        warmed_files = cut(impact.reviewed(impact.file_mass(warm), direct, far, partners), "warm-files")
         ledger = impact.warmed(warm, by_node.select("node", F.coalesce("r", F.array().cast("array<string>")).alias("r")))
         detail = F.concat(F.lit("via "), F.array_join("reasons", ", "), F.when(F.col("top") != "", F.concat(F.lit(" · top: "), "top")).otherwise(""))
         routes = warm.where("place = 'anchor'").select(F.concat(F.lit("⚑ "), "name").alias("label"), F.col("v").alias("mass"), F.concat_ws(":", "file", F.col("line").cast("string")).alias("detail"))

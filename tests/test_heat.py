@@ -33,15 +33,22 @@ def test_field_is_the_matrix_exponential(spark, t):
 
 
 def test_joins_and_kernel_agree(spark):
-    edges = graph(30, 0.15, 7)
+    """Both paths have the same rows and values, in a graph of two parts with a seed outside of either; vectors that are
+    extended are those made at once."""
+    edges = [*graph(30, 0.15, 7), *((100 + a, 100 + b, w) for a, b, w in graph(8, 0.5, 9))]
     adj = heat.adjacency(spark.createDataFrame(edges, "a long, b long, w double")).cache()
-    seeds = spark.createDataFrame([(3, 1.0)], "i long, v double")
-    small = {r.i: r.v for r in heat.heat_field(adj, seeds, 1.0, 8).collect()}
-    large = {r.i: r.v for r in heat.heat_field(adj, seeds, 1.0, 8, kernel_entries=0).collect()}
-    assert all(abs(v - large.get(i, 0.0)) < 1e-9 for i, v in small.items())
-    vectors = heat.chebyshev(adj, seeds, 8)
-    again = {r.i: r.v for r in heat.retime(vectors, 1.0, 8).collect()}
-    assert all(abs(v - again.get(i, 0.0)) < 1e-9 for i, v in small.items())
+    seeds = spark.createDataFrame([(3, 1.0), (500, 0.5)], "i long, v double")
+    rows = lambda df: {tuple(r)[:-1]: r.v for r in df.collect()}
+    same = lambda x, y: x.keys() == y.keys() and all(abs(v - y[k]) < 1e-12 for k, v in x.items())
+    small, large = (rows(heat.heat_field(adj, seeds, 1.0, 8, kernel_entries=n)) for n in (10**6, 0))
+    assert same(small, large) and len(small) == adj.select("i").distinct().count() + 1
+    whole = rows(heat.chebyshev(adj, seeds, 8))
+    for entries in (10**6, 0):
+        kept = heat.Vectors(adj, seeds, entries)
+        for order in (0, 1, 2, 5, 8):
+            kept.extend(order)
+            assert same(rows(kept.table()), {k: v for k, v in whole.items() if k[0] <= order})
+        assert same(rows(kept.field(1.0, 8)), small)
 
 
 def test_isolated_seed_keeps_the_arithmetic(spark):

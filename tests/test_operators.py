@@ -28,15 +28,57 @@ def test_cochange_gate_and_keeper(spark):
 
 def test_star_has_no_region(spark):
     e = spark.createDataFrame([(k, 0, k + 1, "invokes", 1.0) for k in range(5)], "pos long, a long, b long, kind string, w double")
-    near = basins.neighbours(e)
+    near = basins.ends(e)
     assert basins.candidates(near, heat.degrees(heat.adjacency(e))).count() == 0
 
 
-def test_growth_refuses_what_is_too_large(spark, monkeypatch):
-    monkeypatch.setattr(basins, "GROWTH_ENTRIES", 1)
-    e = spark.createDataFrame([(0, 0, 1, "invokes", 1.0)], "pos long, a long, b long, kind string, w double")
-    with pytest.raises(ValueError):
-        basins.grow(basins.neighbours(e), spark.createDataFrame([(0, 1.0)], "i long, score double"), 2)
+def one_after_the_other(ways, seeds, n):
+    """Regions by the rule, seed by seed, over plain dictionaries."""
+    total = {i: sum(w for _, w in x) for i, x in ways.items()}
+    taken, regions = set(), []
+    for seed in seeds:
+        if len(regions) == basins.MOST_REGIONS or seed in taken:
+            continue
+        own, inside = [seed], 0.0
+        while True:
+            met, border = {}, {}
+            for k, m in enumerate(own):
+                for j, w in ways[m]:
+                    if j not in own:
+                        border[j] = border.get(j, 0.0) + w
+                        met.setdefault(j, k)
+            if len(own) >= basins.MOST_MEMBERS or (len(own) >= basins.LEAST_MEMBERS and sum(border.values()) > basins.CUT * max(inside, 0.001)):
+                break
+            best = min(((-border[j] / total[j], met[j], j) for j in border if j not in taken), default=None)
+            if best is None or -best[0] < basins.LEAST_RATIO:
+                break
+            inside += border[best[2]]
+            own.append(best[2])
+        if basins.LEAST_MEMBERS <= len(own) <= max(40, n / 3):
+            taken.update(own)
+            regions.append(own)
+    return regions
+
+
+def test_regions_grown_side_by_side_are_those_grown_in_turn(spark, monkeypatch):
+    """Overlapping clusters, so that regions of one batch clash."""
+    import random
+
+    monkeypatch.setattr(basins, "BATCH", 4)
+    rng = random.Random(5)
+    edges = [(a, b, rng.choice((0.5, 1.0)) if a // 6 == b // 6 else 0.25) for a in range(36) for b in range(a + 1, 36) if rng.random() < (0.8 if a // 6 == b // 6 else 0.1)]
+    e = spark.createDataFrame([(k, a, b, "invokes", w) for k, (a, b, w) in enumerate(edges)], "pos long, a long, b long, kind string, w double")
+    near = basins.ends(e).cache()
+    scored = basins.candidates(near, heat.degrees(heat.adjacency(e))).cache()
+    ways = {}
+    for a, b, w in edges:
+        ways.setdefault(a, []).append((b, w))
+        ways.setdefault(b, []).append((a, w))
+    want = one_after_the_other(ways, [r.i for r in scored.orderBy(F.desc("score"), "i").collect()], 36)
+    got = {}
+    for r in sorted(basins.grow(near, scored, 36).collect(), key=lambda r: r.place):
+        got.setdefault(r.seed, []).append(r.member)
+    assert len(want) > 2 and got == {x[0]: x for x in want}
 
 
 def test_budget_is_never_exceeded(spark):
