@@ -44,7 +44,12 @@ def cooled(memory: DataFrame, now: Column, cap: int = fixed.MEMORY_CAP) -> DataF
     """key, m: what the memory still holds at now, the strongest `cap` entries. memory: key, m, t."""
     hours = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("t").cast("timestamp"))) / 3.6e9
     x = memory.select("key", decayed(F.col("m"), hours).alias("m")).where("m > 1e-9")
-    return x.orderBy(F.desc("m"), "key").limit(cap)
+    return strongest(x, cap)
+
+
+def strongest(entries: DataFrame, cap: int = fixed.MEMORY_CAP) -> DataFrame:
+    """The `cap` entries (key, m) that hold most."""
+    return entries.orderBy(F.desc("m"), "key").limit(cap)
 
 
 def surprise(warmed: DataFrame, memory: DataFrame, known: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ def edges(occ: DataFrame, key_table: DataFrame) -> DataFrame:
     return left.join(right, (left["key"] == right["r_key"]) & (left["a"] < right["b"])).groupBy("a", "b").agg(F.max("w").alias("w"))
 
 
-def lookup(occ: DataFrame) -> DataFrame:
-    """Occurrences kept for look-ups: the first LOOKUP_CAP of a key."""
+def lookup(occ: DataFrame, cap: int = fixed.LOOKUP_CAP) -> DataFrame:
+    """Occurrences kept for look-ups: the first `cap` of a key."""
     rank = F.row_number().over(Window.partitionBy("key").orderBy("pos"))
-    return occ.withColumn("rank", rank).where(F.col("rank") <= fixed.LOOKUP_CAP).drop("rank")
+    return occ.withColumn("rank", rank).where(F.col("rank") <= cap).drop("rank")

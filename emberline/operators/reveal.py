@@ -9,15 +9,20 @@ from emberline.functions import fixed
 from emberline.functions.text import location, lookup
 
 
-def direct_relations(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """node, kind, priority, w, seed, seed_at_a: the best edge between each node and a seed, of edges with one seed end.
+def seed_edges(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Edges with exactly one end among the seeds: edges' columns, node (the other end), seed and seed_at_a.
     edges: pos, a, b, kind, w; seeds: i."""
     s = F.broadcast(seeds.select(F.col("i").alias("s")).distinct())  # at most MAX_SEEDS or MAX_SKETCH_SEEDS rows
     x = edges.join(s.withColumnRenamed("s", "sa"), F.col("a") == F.col("sa"), "left").join(s.withColumnRenamed("s", "sb"), F.col("b") == F.col("sb"), "left")
     x = x.where(F.col("sa").isNull() != F.col("sb").isNull())
     at_a = F.col("sa").isNotNull()
-    best = F.struct(lookup(fixed.RELATION_PRIORITY, F.col("kind")).alias("priority"), "w", (-F.col("pos")).alias("p"), "kind", F.when(at_a, F.col("a")).otherwise(F.col("b")).alias("seed"), at_a.alias("seed_at_a"))
-    return x.groupBy(F.when(at_a, F.col("b")).otherwise(F.col("a")).alias("node")).agg(F.max(best).alias("r")).select("node", "r.kind", "r.priority", "r.w", "r.seed", "r.seed_at_a")
+    return x.select(*(x[c] for c in edges.columns), F.when(at_a, F.col("b")).otherwise(F.col("a")).alias("node"), F.when(at_a, F.col("a")).otherwise(F.col("b")).alias("seed"), at_a.alias("seed_at_a"))
+
+
+def direct_relations(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """node, kind, priority, w, seed, seed_at_a: the best edge between each node and a seed, of edges with one seed end."""
+    best = F.struct(lookup(fixed.RELATION_PRIORITY, F.col("kind")).alias("priority"), "w", (-F.col("pos")).alias("p"), "kind", "seed", "seed_at_a")
+    return seed_edges(edges, seeds).groupBy("node").agg(F.max(best).alias("r")).select("node", "r.kind", "r.priority", "r.w", "r.seed", "r.seed_at_a")
 
 
 def relation_label(kind, seed_at_a, node_kind):
@@ -33,17 +38,22 @@ def relation_label(kind, seed_at_a, node_kind):
     )
 
 
-def lit_nodes(nodes: DataFrame, field: DataFrame, edges: DataFrame, seeds: DataFrame, disclosed: DataFrame | None = None, include: DataFrame | None = None, exclude: DataFrame | None = None, repeat_nucleus: bool = False, cap: int = fixed.MAX_LIT) -> DataFrame:
-    """The lit nodes in order: nodes' columns, v, h, is_seed, relation, role and rank. nodes: i, id, name, kind, file,
-    line, ...; the other node sets: i. Heats that are equal to ten places are ties. role is focus, direct, hot, warm or glow."""
+def tiered(nodes: DataFrame, field: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """All nodes of the field: nodes' columns, v, h, is_seed, semantic (related by more than containment), tier (focus, direct,
+    hot, warm, glow or dark), vmax, and the best edge to a seed."""
     top = field.agg(F.max("v").alias("vmax"))
     rel = direct_relations(edges, seeds).select(F.col("node").alias("r_node"), F.col("kind").alias("r_kind"), F.col("seed").alias("r_seed"), "seed_at_a")
     s = seeds.select(F.col("i").alias("s_i")).distinct()
     x = nodes.join(field.toDF("f_i", "v"), F.col("i") == F.col("f_i")).join(rel, F.col("i") == F.col("r_node"), "left").join(F.broadcast(s), F.col("i") == F.col("s_i"), "left").crossJoin(F.broadcast(top))
-    is_seed = F.col("s_i").isNotNull()
-    semantic = F.coalesce(F.col("r_kind") != "contains", F.lit(False))
-    h = F.col("v") / F.col("vmax")
-    x = x.withColumn("h", h).withColumn("is_seed", is_seed).withColumn("semantic", semantic)
+    x = x.withColumn("h", F.col("v") / F.col("vmax")).withColumn("is_seed", F.col("s_i").isNotNull()).withColumn("semantic", F.coalesce(F.col("r_kind") != "contains", F.lit(False)))
+    tier = F.when(F.col("is_seed"), "focus").when(F.col("semantic"), "direct").when(F.col("h") >= fixed.HOT, "hot").when(F.col("h") >= fixed.WARM, "warm").when((F.col("h") >= fixed.LIT_SHARE) & (F.col("v") >= fixed.HEAT_EPS), "glow").otherwise("dark")
+    return x.withColumn("tier", tier)
+
+
+def lit_nodes(nodes: DataFrame, field: DataFrame, edges: DataFrame, seeds: DataFrame, disclosed: DataFrame | None = None, include: DataFrame | None = None, exclude: DataFrame | None = None, repeat_nucleus: bool = False, cap: int = fixed.MAX_LIT) -> DataFrame:
+    """The lit nodes in order: nodes' columns, v, h, is_seed, relation, role and rank. nodes: i, id, name, kind, file,
+    line, ...; the other node sets: i. Heats that are equal to ten places are ties. role is focus, direct, hot, warm or glow."""
+    x = tiered(nodes, field, edges, seeds)
     x = x.where((F.col("vmax") > 0) & (F.col("semantic") | ((F.col("h") >= fixed.LIT_SHARE) & (F.col("v") >= fixed.HEAT_EPS))))
     if include is not None:
         x = x.join(include.select(F.col("i").alias("n_i")), F.col("i") == F.col("n_i"), "left_semi")
@@ -54,8 +64,7 @@ def lit_nodes(nodes: DataFrame, field: DataFrame, edges: DataFrame, seeds: DataF
     priority = F.when(F.col("is_seed"), 2).when(F.col("semantic"), 1).otherwise(0)
     order = [F.desc("p"), F.desc(F.round("v", 10)), "file", "line", "name", "i"]
     x = x.withColumn("p", priority).orderBy(*order).limit(cap)
-    role = F.when(F.col("is_seed"), "focus").when(F.col("h") >= fixed.HOT, F.when(F.col("semantic"), "direct").otherwise("hot")).when(F.col("semantic"), "direct").when(F.col("h") >= fixed.WARM, "warm").otherwise("glow")
-    x = x.withColumn("role", role)
+    x = x.withColumnRenamed("tier", "role")
     # at most `cap` rows from here on
     x = x.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
     unrelated = (F.col("role") == "warm") & (F.col("kind") != "file")

@@ -36,21 +36,33 @@ def opening_seeds(nodes: DataFrame, conductance: DataFrame, routes: DataFrame) -
     return both.orderBy("o", "i").limit(fixed.MAX_SKETCH_SEEDS).select("i")
 
 
+def closures(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """i, a_name, at, j, file: every route with itself and the far ends of its edges, as often as there are edges."""
+    near = basins.ends(edges)
+    place = nodes.select(F.col("i").alias("n_i"), "file")
+    reach = near.select("i", "j").unionByName(nodes.select("i", F.col("i").alias("j")))
+    anchors = nodes.where("kind = 'anchor'").select(F.col("i").alias("a_i"), F.col("name").alias("a_name"), F.concat_ws(":", "file", F.col("line").cast("string")).alias("at"))
+    return reach.join(anchors, reach["i"] == anchors["a_i"]).join(place, F.col("j") == F.col("n_i")).select("i", "a_name", "at", "j", "file")
+
+
+def closure_mass(closure: DataFrame, field: DataFrame) -> DataFrame:
+    """i, a_name, at, mass, k, files of each route: parallel edges count each."""
+    warm = closure.join(field.toDF("f_i", "v"), F.col("j") == F.col("f_i"))
+    return warm.groupBy("i", "a_name", "at").agg(F.sum("v").alias("mass"), F.count("*").alias("k"), F.countDistinct("file").alias("files"))
+
+
 def sketch(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """label, mass, detail of all groups."""
     adj = cut(heat.adjacency(edges), "adjacency")
     degree = heat.degrees(adj)
     near = basins.ends(edges)
     place = nodes.select(F.col("i").alias("n_i"), "file", "name", "kind")
-    reach = near.select("i", "j").unionByName(nodes.select("i", F.col("i").alias("j")))
-    anchors = nodes.where("kind = 'anchor'").select(F.col("i").alias("a_i"), F.col("name").alias("a_name"), F.concat_ws(":", "file", F.col("line").cast("string")).alias("at"))
-    closure = cut(reach.join(anchors, reach["i"] == anchors["a_i"]).join(place, F.col("j") == F.col("n_i")), "closure")
+    closure = cut(closures(nodes, edges), "closure")
     production = closure.groupBy("i").agg(F.bool_or(~is_test_scope(F.col("file"))).alias("shipped"))
     routes = production.where("shipped").select("i")
     seeds = opening_seeds(nodes, degree, routes)
     field = cut(heat.heat_field(adj, seeds.withColumn("v", F.lit(1.0)), T), "field")
-    warm = closure.join(field.toDF("f_i", "v"), F.col("j") == F.col("f_i"))
-    groups = warm.join(production.toDF("p_i", "shipped"), F.col("i") == F.col("p_i")).groupBy("i", "a_name", "at", "shipped").agg(F.sum("v").alias("mass"), F.count("*").alias("k"), F.countDistinct("file").alias("files"))
+    groups = closure_mass(closure, field).join(production.toDF("p_i", "shipped"), F.col("i") == F.col("p_i"))
     out = groups.where("shipped").select(F.concat(F.lit("⚑ "), "a_name").alias("label"), "mass", F.format_string("%d nodes · %d files · %s", "k", "files", "at").alias("detail"))
     test = groups.where("not shipped").agg(F.sum("mass").alias("mass"), F.count("*").alias("k")).where("k > 0")
     out = out.unionByName(test.select(F.lit("tests/fixtures").alias("label"), (F.col("mass") * TEST_ROUTE_SHARE).alias("mass"), F.format_string("%d feature anchors collapsed", "k").alias("detail")))

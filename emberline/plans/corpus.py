@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberline.functions import fixed
 from emberline.operators import discovery, graph
+from emberline.plans.bindings import LITERALS_SQL, class_sql, page_literals
 from emberline.plans.registry import query, values
 from emberline.sources import extract
 
@@ -99,10 +101,8 @@ def a17_file_routes(spark, sf):
 
 @query(values("raw VARCHAR, ok BOOLEAN", [("/users/:id", True), (":id", True), ("{slug}", True), ("hello world", False), ("[x]", True), ("^/re$", False)]))
 def b11_anchor_validation(spark, sf):
-    from emberline.functions import fixed
-
     x = spark.createDataFrame([("/users/:id",), (":id",), ("{slug}",), ("hello world",), ("[x]",), ("^/re$",)], "raw string")
-    return x.select("raw", (F.col("raw").rlike(fixed.PATH_TOKEN) | F.col("raw").rlike(fixed.PLACEHOLDER_ONLY)).alias("ok"))
+    return x.select("raw", extract.is_route(F.col("raw")).alias("ok"))
 
 
 RESOLVED = [("shop/server.go", "shop/store", "shop/store/store.go"), ("web/orders.ts", "./client", "web/client.ts"), ("web/orders.test.ts", "./orders", "web/orders.ts"), ("jobs/report.py", "jobs.mail", "jobs/mail.py"), ("lib/core.rs", "crate::util", "src/util.rs")]
@@ -128,14 +128,28 @@ def sigs(spark):
     return discovery.histogram(discovery.call_arguments(lines))
 
 
-@query(values("callee VARCHAR, shape VARCHAR, arg INT, n BIGINT, path_n BIGINT, files BIGINT", [("every", "bare", 0, 4, 4, 2), ("push", "recv", 0, 1, 0, 1), ("send", "bare", 0, 1, 1, 1), ("path", "bare", 0, 1, 0, 1), ("route", "dec", 0, 1, 0, 1)]))
+#: Calls made of pages: each quoted literal is an argument of one of a few callees; most of some callees' are paths.
+ARGS_SQL = f"args AS (SELECT file, 'Python' AS lang, CASE line % 3 WHEN 0 THEN 'recv' WHEN 1 THEN 'bare' ELSE 'dec' END AS shape, CASE WHEN text LIKE '/%' AND line % 5 > 0 THEN 'visit' ELSE 'other' || node % 3 END AS callee, (node % 2)::INT AS arg, text, {class_sql('text')} AS cls FROM lits)"
+HISTOGRAM_SQL = f"{LITERALS_SQL}, {ARGS_SQL}, h AS (SELECT lang, shape, callee, arg, count(*) AS n, count(*) FILTER (cls = 'path') AS path_n, count(DISTINCT file) AS files FROM args GROUP BY ALL)"
+
+
+def page_sigs(spark, sf):
+    x = page_literals(spark, sf)
+    shape = F.when(F.col("line") % 3 == 0, "recv").when(F.col("line") % 3 == 1, "bare").otherwise("dec")
+    callee = F.when(F.col("text").startswith("/") & (F.col("line") % 5 > 0), "visit").otherwise(F.concat(F.lit("other"), (F.col("node") % 3).cast("string")))
+    return discovery.histogram(x.select("file", F.lit("Python").alias("lang"), shape.alias("shape"), callee.alias("callee"), (F.col("node") % 2).cast("int").alias("arg"), "text"))
+
+
+@query(f"WITH {HISTOGRAM_SQL} SELECT * FROM h")
 def d4_signature_histogram(spark, sf):
-    return sigs(spark).where("lang = 'Python'").select("callee", "shape", "arg", "n", "path_n", "files")
+    return page_sigs(spark, sf).select("lang", "shape", "callee", "arg", "n", "path_n", "files")
 
 
-@query(values("id VARCHAR, methods VARCHAR, pattern VARCHAR, posterior DOUBLE", [("implicit:python:bare:every:0", "^(?i:every)$", "$M($P, $$$H)", 0.9)]))
+@query(f"""WITH {HISTOGRAM_SQL}, p AS (SELECT *, (path_n + 0.5) / (n + 1.0) AS p FROM h)
+SELECT 'implicit:python:' || shape || ':' || callee || ':' || arg AS id, '^(?i:' || callee || ')$' AS methods, CASE shape WHEN 'recv' THEN '$R.$M(' WHEN 'bare' THEN '$M(' ELSE '@$M(' END || CASE arg WHEN 0 THEN '$P' ELSE '$X0, $P' END || ', $$$H)' AS pattern, n, files, round(p, 6)::DOUBLE AS posterior
+FROM p WHERE n >= {fixed.MIN_SITES} AND files >= {fixed.MIN_SIG_FILES} AND p >= {fixed.MIN_POSTERIOR}""")
 def d5_promoted_rules(spark, sf):
-    return discovery.promoted(sigs(spark)).select("id", "methods", F.element_at("patterns", 2).alias("pattern"), "posterior")
+    return discovery.promoted(page_sigs(spark, sf)).select("id", "methods", F.element_at("patterns", 2).alias("pattern"), "n", "files", F.round("posterior", 6).alias("posterior"))
 
 
 @query(values("lang VARCHAR, callee VARCHAR", [("Python", "every"), ("Python", "push"), ("Python", "send"), ("Python", "route")]))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from emberline.functions import fixed, text
 from emberline.plans.bindings import FILES_SQL, LITERALS_SQL, PATH_SQL, class_sql, document_files, norm_sql, page_literals, table
 from emberline.plans.registry import query, values
+from emberline.sources.files import listed
 
 q = lambda xs: ", ".join(f"'{x}'" for x in xs)
 EXT = "lower(string_split(file, '.')[-1])"
@@ -21,11 +22,10 @@ SCOPE = f"({TEST} OR regexp_matches(file, '{fixed.TEST_SCOPE}'))"
 COUNTED = "SELECT {0}, count(*) AS n FROM f GROUP BY ALL"
 
 
-@query(f"WITH f AS ({FILES_SQL}) SELECT file FROM f WHERE {KNOWN} AND NOT {JUNK} ORDER BY file LIMIT {fixed.MAX_FILES}")
+@query(f"WITH f AS ({FILES_SQL}) SELECT file FROM f WHERE {KNOWN} AND NOT {JUNK} ORDER BY file LIMIT 60")
 def a1_list_files(spark, sf):
-    """The listing has a limit of its own: the first MAX_FILES files in order."""
-    f = document_files(spark, sf)
-    return f.where(text.is_supported(F.col("file")) & ~text.is_junk(F.col("file"))).select("file").orderBy("file").limit(fixed.MAX_FILES)
+    """A listing has a limit of its own, the first MAX_FILES files in order; here 60."""
+    return listed(document_files(spark, sf), cap=60).select("file")
 
 
 @query(f"WITH f AS ({FILES_SQL}) SELECT doc_id, {JUNK} AS junk FROM f")
@@ -192,19 +192,38 @@ def b16_bigram_dice(spark, sf):
     return names(spark, sf).select("p_partkey", F.round(text.dice(F.lower("name"), F.lit(DICE_ASKED)), 6).alias("dice"))
 
 
-SIMILAR = [("load user", "UserStore.loadUsers", 1.0), ("parse config", "readFile", 0.117647), ("server switch", "ServerSwitcher", 0.916667), ("the of", "x", 1.0)]
+ASKED_NAME = "antique handler parsing the thistle"
+
+
+def ordered_terms_sql(c: str) -> str:
+    """Terms in the order of their first occurrence."""
+    spaced = f"regexp_replace(regexp_replace({c}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g')"
+    words = f"list_filter(string_split_regex(lower({spaced}), '[^a-z0-9]+'), lambda w: length(w) > 1 AND w NOT IN ({q(fixed.STOP_WORDS)}))"
+    stemmed = f"list_filter(list_transform({words}, lambda w: {STEM_SQL.format('w')}), lambda w: w NOT IN ({q(fixed.STOP_WORDS)}))"
+    return f"list_filter({stemmed}, lambda w, i: list_position({stemmed}, w) = i)"
+
+
+def bigrams_sql(s: str) -> str:
+    pairs = f"list_transform(range(1, length({s})), lambda i: {s}[i:i + 1])"
+    return f"list_transform({pairs}, lambda p, i: p || '#' || len(list_filter({pairs}[1:i], lambda o: o = p)))"
+
 
+SIMILAR_SQL = f"""{NAMES_SQL}, t AS (SELECT p_partkey, name, {ordered_terms_sql('name')} AS c, {ordered_terms_sql(f"'{ASKED_NAME}'")} AS q FROM p),
+j AS (SELECT *, array_to_string(c, '') AS cs, array_to_string(q, '') AS qs, len(list_intersect(c, q)) AS shared FROM t),
+d AS (SELECT *, CASE WHEN cs = qs THEN 1.0 WHEN length(cs) < 2 OR length(qs) < 2 THEN 0.0 ELSE 2.0 * len(list_intersect({bigrams_sql('cs')}, {bigrams_sql('qs')})) / (length(cs) + length(qs) - 2) END AS dice FROM j),
+scored AS (SELECT d.p_partkey, name, p_brand, greatest(0.72 * shared / len(q) + 0.28 * shared / greatest(len(c), 1), dice)::DOUBLE AS score FROM d JOIN part ON part.p_partkey = d.p_partkey)"""
 
-@query(values("query VARCHAR, name VARCHAR, score DOUBLE", SIMILAR))
+
+@query(f"WITH {SIMILAR_SQL} SELECT p_partkey, round(score, 6) AS score FROM scored")
 def b17_symbol_similarity(spark, sf):
-    x = spark.createDataFrame([(a, b) for a, b, _ in SIMILAR], "query string, name string")
-    return x.select("query", "name", F.round(text.similarity(F.col("query"), F.col("name")), 6).alias("score"))
+    return names(spark, sf).select("p_partkey", F.round(text.similarity(F.lit(ASKED_NAME), F.col("name")), 6).alias("score"))
 
 
-@query(values("query VARCHAR, name VARCHAR, same BOOLEAN", [("switch server", "ServerSwitch.serverSwitches", True), ("load", "loadUser", False), ("users", "User", True), ("the", "x", False)]))
+@query(f"WITH {NAMES_SQL}, w AS (SELECT p.p_partkey, {terms_sql('name')} AS c, {terms_sql('p_name')} AS t FROM p JOIN part ON part.p_partkey = p.p_partkey) SELECT p_partkey, len(t) > 0 AND c = t AS same FROM w")
 def b18_same_terms(spark, sf):
-    x = spark.createDataFrame([("switch server", "ServerSwitch.serverSwitches"), ("load", "loadUser"), ("users", "User"), ("the", "x")], "query string, name string")
-    return x.select("query", "name", text.same_terms(F.col("query"), F.col("name")).alias("same"))
+    """Whether a part's words are all that its symbol's name says."""
+    words = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), "p_name")
+    return names(spark, sf).join(words, F.expr("k = p_partkey")).select("p_partkey", text.same_terms(F.col("p_name"), F.col("name")).alias("same"))
 
 
 @query(f"WITH f AS ({FILES_SQL}) SELECT doc_id FROM f WHERE (file = 'src0/en' OR file LIKE 'src0/en/%') AND lower({LANG}) = 'python'")
@@ -261,10 +280,12 @@ def b29_directories(spark, sf):
     return document_files(spark, sf).groupBy(text.directory(F.col("file")).alias("dir")).agg(F.count("*").alias("n"))
 
 
-@query(values("path VARCHAR, scope VARCHAR", [("src/a.ts", "src"), ("@src/b", "src"), ("top.md", "top.md"), ("../x", None), ("/abs", None), ("", None), ("./web/c", "web")]))
+MARKED_SQL = "CASE doc_id % 6 WHEN 0 THEN '@' || file WHEN 1 THEN './' || file WHEN 2 THEN '../' || file WHEN 3 THEN '/' || file WHEN 4 THEN '@././' || file ELSE file END"
+
+
+@query(f"WITH f AS ({FILES_SQL}), m AS (SELECT doc_id, regexp_replace(regexp_replace({MARKED_SQL}, '^@', ''), '^(\\./)+', '') AS p FROM f) SELECT doc_id, CASE WHEN starts_with(p, '/') OR starts_with(p, '../') THEN NULL ELSE string_split(p, '/')[1] END AS scope FROM m")
 def b30_sync_scope(spark, sf):
-    x = spark.createDataFrame([("src/a.ts",), ("@src/b",), ("top.md",), ("../x",), ("/abs",), ("",), ("./web/c",)], "path string")
-    return x.select("path", text.sync_scope(F.col("path")).alias("scope"))
+    return document_files(spark, sf).select("doc_id", text.sync_scope(F.expr(MARKED_SQL)).alias("scope"))
 
 
 ASKED = [("loadUser", True), ("UserStore.load", True), ("web/api.ts", True), ("/users/{id}", True), ("foo|bar", False), ("a.*b", False), ("plain words", True), ("\\bword", False)]
@@ -281,13 +302,16 @@ def b33_sanitisers(spark, sf):
     return x.select("name", text.escaped(F.col("name")).alias("pattern"), text.short_name(F.col("name")).alias("short"))
 
 
-LONG = "x" * 90
-SIGS = [("  def f(a):  ", "def f(a):"), (f"function f({LONG}, {LONG}) {{ return 1", f"function f({LONG}, {LONG[:34]}..."), (f"class A {{ {LONG} {LONG}", "class A { ... }")]
+#: Lines of code made of documents: long ones with and without a body, short ones.
+CODE_SQL = "replace(substr(text, 1, CASE doc_id % 4 WHEN 3 THEN 50 ELSE 190 END), chr(10), ' ')"
+CODE_SQL = f"CASE doc_id % 4 WHEN 0 THEN '  class A  {{{{ ' || {CODE_SQL} WHEN 1 THEN {CODE_SQL} WHEN 2 THEN substr({CODE_SQL}, 1, 60) || ' {{{{' || {CODE_SQL} ELSE '    ' || {CODE_SQL} || '  ' END".replace("{{", "{")
 
 
-@query(values("line VARCHAR, sig VARCHAR", SIGS))
+@query(f"""WITH t AS (SELECT doc_id, regexp_replace({CODE_SQL}, '^\\s+|\\s+$', '', 'g') AS s FROM documents),
+c AS (SELECT doc_id, CASE WHEN strpos(s, '{{') > 1 AND length(s) > 140 THEN regexp_replace(s[:strpos(s, '{{') - 1], '\\s+$', '') || ' {{ ... }}' ELSE s END AS s FROM t)
+SELECT doc_id, CASE WHEN length(s) > 140 THEN s[:137] || '...' ELSE s END AS sig FROM c""")
 def a11_clean_signature(spark, sf):
-    return spark.createDataFrame([(a,) for a, _ in SIGS], "line string").select("line", text.clean_signature(F.col("line")).alias("sig"))
+    return table(spark, sf, "documents").select("doc_id", text.clean_signature(F.expr(CODE_SQL)).alias("sig"))
 
 
 @query(f"WITH f AS ({FILES_SQL}), s AS (SELECT *, {STATUS} AS status FROM f) SELECT status, count(*) AS files, count(DISTINCT {DIR}) AS dirs FROM s GROUP BY status")

@@ -10,7 +10,8 @@ from emberline.functions.kernel import bessel_i, choose_order, coefficient, coef
 from emberline.operators import basins, graph, heat, impact, literal_index, reveal, seeds
 from emberline.operators.ranking import global_rank
 from emberline.plans.bindings import ADJ_SQL, EDGES_SQL, KEYS_SQL, NODES_SQL, heat_sql, key_graph, page_literals, table
-from emberline.plans.files_and_names import SCOPE
+from emberline.plans.files_and_names import ASKED_NAME, SCOPE, SIMILAR_SQL
+from emberline.plans.files_and_names import names as part_names
 from emberline.plans.registry import query, values
 from emberline.sources.lineage import cut
 
@@ -49,10 +50,10 @@ def c6_literal_edges(spark, sf):
     return literal_index.edges(occ, keys).select("a", "b", F.round("w", 6).alias("w"))
 
 
-@query(f"WITH {KEYS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY node, line, text) AS k FROM occ) SELECT key, node, line::INT AS line FROM r WHERE k <= {fixed.LOOKUP_CAP}")
+@query(f"WITH {KEYS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY node, line, text) AS k FROM occ) SELECT key, node, line::INT AS line FROM r WHERE k <= 3")
 def d1_literal_lookup(spark, sf):
     occ, _ = literal_tables(spark, sf)
-    return literal_index.lookup(occ).select("key", "node", "line")
+    return literal_index.lookup(occ, cap=3).select("key", "node", "line")
 
 
 LITERAL_QUERY = "/de"
@@ -244,9 +245,7 @@ def e4_direct_relations(spark, sf):
 def c11_seed_edges(spark, sf):
     """Edges with exactly one end among the seeds."""
     _, edges = key_graph(spark, sf)
-    s = F.broadcast(seed_rows(spark).select(F.col("i").alias("s")))
-    x = edges.join(s.toDF("sa"), F.col("a") == F.col("sa"), "left").join(s.toDF("sb"), F.col("b") == F.col("sb"), "left")
-    return x.where(F.col("sa").isNull() != F.col("sb").isNull()).groupBy("kind").agg(F.count("*").alias("n"))
+    return reveal.seed_edges(edges, seed_rows(spark)).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 FIELD_SQL = f"WITH RECURSIVE {NODES_SQL}, {EDGES_SQL}, {ADJ_SQL}, {heat_sql(SEED_SQL, 2.0, 21, coefficients(2.0, 21))}, {REL_SQL}"
@@ -262,12 +261,7 @@ shown AS (SELECT *, CASE WHEN tier = 'warm' AND kind <> 'file' AND count(*) FILT
 def g12_tiers(spark, sf):
     """All nodes by tier, before any cap."""
     nodes, edges, field = key_field(spark, sf, WIDE)
-    top = field.agg(F.max("v").alias("vmax"))
-    rel = reveal.direct_relations(edges, seed_rows(spark, WIDE)).where("kind <> 'contains'").select(F.col("node").alias("r"))
-    s = seed_rows(spark, WIDE).select(F.col("i").alias("s"))
-    x = nodes.select("i").join(field.toDF("f", "v"), F.expr("i = f")).join(rel, F.expr("i = r"), "left").join(F.broadcast(s), F.expr("i = s"), "left").crossJoin(F.broadcast(top)).withColumn("h", F.col("v") / F.col("vmax"))
-    tier = F.when(F.expr("s is not null"), "focus").when(F.expr("r is not null"), "direct").when(F.col("h") >= fixed.HOT, "hot").when(F.col("h") >= fixed.WARM, "warm").when((F.col("h") >= fixed.LIT_SHARE) & (F.col("v") >= fixed.HEAT_EPS), "glow").otherwise("dark")
-    return x.groupBy(tier.alias("tier")).agg(F.count("*").alias("n"))
+    return reveal.tiered(nodes, field, edges, seed_rows(spark, WIDE)).groupBy("tier").agg(F.count("*").alias("n"))
 
 
 def key_lit(spark, sf):
@@ -324,34 +318,15 @@ def e7_seed_ranking(spark, sf):
     return seeds.resolve(nodes, spark.createDataFrame([], "key string, cls string"), spark.createDataFrame([], "key string, node long"), ASKED)
 
 
-SYMBOLS = [(1, "loadUser", "function", "a.ts", "TypeScript"), (2, "UserStore.save", "method", "b.ts", "TypeScript"), (3, "parseConfig", "function", "c.py", "Python"), (4, "a.ts", "file", "a.ts", "TypeScript")]
-
-
-@query(values("i BIGINT, name VARCHAR, file VARCHAR, score DOUBLE", [(1, "loadUser", "a.ts", 0.777778)]))
+@query(f"WITH {SIMILAR_SQL} SELECT p_partkey AS i, name, p_brand AS file, round(score, 6) AS score FROM scored WHERE score >= {fixed.SUGGEST_AT} ORDER BY scored.score DESC, name, p_brand, p_partkey LIMIT 5")
 def e8_suggestions(spark, sf):
-    nodes = spark.createDataFrame(SYMBOLS, "i long, name string, kind string, file string, lang string")
-    return seeds.suggestions(nodes, "loading users fast").select("i", "name", "file", F.round("score", 6).alias("score"))
-
-
-@query(f"WITH {EDGES_SQL}, {ADJ_SQL}, {NODES_SQL} SELECT round(sum(d), 4) AS d, count(*) AS n FROM (SELECT d FROM deg JOIN nodes ON nodes.i = deg.i ORDER BY d DESC LIMIT 24)")
-def e6_hubs(spark, sf):
-    """The MAX_HUBS nodes of the highest degree outside tests."""
-    nodes, edges = key_graph(spark, sf)
-    d = heat.degrees(heat.adjacency(edges)).toDF("d_i", "d")
-    hubs = nodes.where(~text.is_test_scope(F.col("file"))).join(d, F.expr("i = d_i")).orderBy(F.desc("d"), "i").limit(fixed.MAX_HUBS)
-    return hubs.agg(F.round(F.sum("d"), 4).alias("d"), F.count("*").alias("n"))
+    """The five names most like a question that nothing answers."""
+    nodes = part_names(spark, sf).join(table(spark, sf, "part").select(F.col("p_partkey").alias("i"), F.col("p_brand").alias("file")), F.expr("i = p_partkey"))
+    found = seeds.suggestions(nodes.select("i", "name", "file", F.lit("function").alias("kind"), F.lit("Go").alias("lang")), ASKED_NAME)
+    return found.select("i", "name", "file", F.round("score", 6).alias("score"))
 
 
 # sketch -----------------------------------------------------------------------------------------------------------
-@query(f"WITH {EDGES_SQL}, {NODES_SQL}, near AS (SELECT a AS i, b AS j FROM edges UNION ALL SELECT b, a FROM edges), c AS (SELECT i AS hub, i AS j FROM nodes WHERE kind = 'anchor' UNION ALL SELECT nodes.i, near.j FROM near JOIN nodes ON nodes.i = near.i WHERE nodes.kind = 'anchor') SELECT hub, count(*) AS nodes, count(DISTINCT n.file) AS files FROM c JOIN nodes n ON n.i = c.j GROUP BY hub")
-def d9_anchor_closures(spark, sf):
-    nodes, edges = key_graph(spark, sf)
-    hub = F.broadcast(nodes.where("kind = 'anchor'").select(F.col("i").alias("hub")))
-    near = edges.select(F.col("a").alias("i"), F.col("b").alias("j")).unionByName(edges.select(F.col("b").alias("i"), F.col("a").alias("j")))
-    c = near.join(hub, F.expr("i = hub")).select("hub", "j").unionByName(hub.select("hub", F.col("hub").alias("j")))
-    return c.join(nodes.select("i", "file"), F.expr("i = j")).groupBy("hub").agg(F.count("*").alias("nodes"), F.countDistinct("file").alias("files"))
-
-
 DIR_SQL = "CASE len(string_split(file, '/')) WHEN 1 THEN '(root)' WHEN 2 THEN string_split(file, '/')[1] || '/' ELSE string_split(file, '/')[1] || '/' || string_split(file, '/')[2] || '/' END"
 
 
@@ -364,12 +339,13 @@ def d8_directory_mass(spark, sf):
     return directory_groups(nodes, field, none).select("label", F.round("mass", 5).alias("mass"), "files")
 
 
-@query(f"{FIELD_SQL}, r AS (SELECT split_part(file, '/', 1) AS g, name, v, row_number() OVER (PARTITION BY split_part(file, '/', 1) ORDER BY round(v, 9) DESC, name, nodes.i) AS k FROM nodes JOIN field ON field.i = nodes.i) SELECT g, k::INT AS k, round(v, 6) AS v FROM r WHERE k <= 3")
+@query(f"{FIELD_SQL}, r AS (SELECT {DIR_SQL} AS label, name, kind, row_number() OVER (PARTITION BY {DIR_SQL}, kind <> 'file' ORDER BY round(v, 10) DESC, nodes.i) AS k FROM nodes JOIN field ON field.i = nodes.i WHERE kind <> 'anchor') SELECT label, coalesce(string_agg(name, ', ' ORDER BY k) FILTER (kind <> 'file' AND k <= 3), '') AS top FROM r GROUP BY label")
 def e2_top_names(spark, sf):
+    """The three warmest symbols of each directory."""
+    from emberline.operators.sketch import directory_groups
+
     nodes, _, field = key_field(spark, sf)
-    x = nodes.join(field.toDF("f_i", "v"), F.expr("i = f_i")).withColumn("g", F.split_part("file", F.lit("/"), F.lit(1)))
-    w = Window.partitionBy("g").orderBy(F.desc(F.round("v", 9)), "name", "i")
-    return x.withColumn("k", F.row_number().over(w)).where("k <= 3").select("g", "k", (F.round("v", 6) + 0.0).alias("v"))
+    return directory_groups(nodes, field, spark.createDataFrame([], "i long")).select("label", "top")
 
 
 @query(f"WITH {EDGES_SQL}, near AS (SELECT a AS i, b AS j, kind, w FROM edges UNION ALL SELECT b, a, kind, w FROM edges), r AS (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY kind = 'contains', w DESC, j) AS k FROM near), few AS (SELECT * FROM r WHERE k <= 12), links AS (SELECT DISTINCT i, j FROM near), p AS (SELECT x.i, x.j, y.j AS j2 FROM few x JOIN few y ON x.i = y.i AND x.k < y.k), t AS (SELECT p.i, avg((l.i IS NOT NULL)::INT) AS tri FROM p LEFT JOIN links l ON l.i = p.j AND l.j = p.j2 GROUP BY p.i) SELECT n.i, n.deg, round(coalesce(tri, 0), 6)::DOUBLE AS tri FROM (SELECT i, count(*) AS deg FROM near GROUP BY i) n LEFT JOIN t ON t.i = n.i")
@@ -398,11 +374,12 @@ def f0_group_order(spark, sf):
     return global_rank(groups.withColumn("down", -F.col("mass")), "down", "label").select("label", "mass", "rank")
 
 
-SKETCH_SQL = f"""WITH RECURSIVE {NODES_SQL}, {EDGES_SQL}, {ADJ_SQL}, near AS (SELECT a AS i, b AS j FROM edges UNION ALL SELECT b, a FROM edges UNION ALL SELECT i, i FROM nodes),
+SKETCH_CTES = f"""WITH RECURSIVE {NODES_SQL}, {EDGES_SQL}, {ADJ_SQL}, near AS (SELECT a AS i, b AS j FROM edges UNION ALL SELECT b, a FROM edges UNION ALL SELECT i, i FROM nodes),
 closure AS (SELECT h.i, h.name, h.file || ':' || h.line AS spot, n.i AS j, n.file FROM nodes h JOIN near ON near.i = h.i JOIN nodes n ON n.i = near.j WHERE h.kind = 'anchor'),
 production AS (SELECT i FROM closure GROUP BY i HAVING bool_or(NOT {SCOPE})),
 hubs AS (SELECT nodes.i FROM nodes JOIN deg ON deg.i = nodes.i WHERE NOT {SCOPE} ORDER BY round(d, 9) DESC, nodes.i LIMIT {fixed.MAX_HUBS}),
-opening AS (SELECT i, min(o) AS o FROM (SELECT i, 0 AS o FROM production UNION ALL SELECT i, 1 FROM hubs) GROUP BY i ORDER BY o, i LIMIT {fixed.MAX_SKETCH_SEEDS}),
+opening AS (SELECT i, min(o) AS o FROM (SELECT i, 0 AS o FROM production UNION ALL SELECT i, 1 FROM hubs) GROUP BY i ORDER BY o, i LIMIT {fixed.MAX_SKETCH_SEEDS})"""
+SKETCH_SQL = f"""{SKETCH_CTES},
 {heat_sql("SELECT i, 1.0::DOUBLE AS v FROM opening", 16.0, choose_order(16.0), coefficients(16.0, choose_order(16.0)))},
 dirs AS (SELECT nodes.*, v, {DIR_SQL} AS label, row_number() OVER (PARTITION BY {DIR_SQL}, kind <> 'file' ORDER BY round(v, 10) DESC, nodes.i) AS k FROM nodes JOIN field ON field.i = nodes.i WHERE kind <> 'anchor' AND nodes.i NOT IN (SELECT j FROM closure))
 SELECT '⚑ ' || name AS label, round(sum(v), 4) AS mass, count(*) || ' nodes · ' || count(DISTINCT file) || ' files · ' || spot AS detail FROM closure JOIN field ON field.i = closure.j WHERE closure.i IN (SELECT i FROM production) GROUP BY closure.i, name, spot
@@ -418,6 +395,25 @@ def g10_sketch(spark, sf):
     return sketch(nodes, edges).select("label", F.round("mass", 4).alias("mass"), "detail")
 
 
+@query(f"{SKETCH_CTES} SELECT i FROM opening")
+def e6_hubs(spark, sf):
+    """The seeds of a sketch: routes of production code, then the MAX_HUBS nodes of the highest degree outside tests."""
+    from emberline.operators.sketch import closures, opening_seeds
+
+    nodes, edges = key_graph(spark, sf)
+    routes = closures(nodes, edges).where(~text.is_test_scope(F.col("file"))).select("i").distinct()
+    return opening_seeds(nodes, heat.degrees(heat.adjacency(edges)), routes)
+
+
+@query(f"{SKETCH_CTES}, {heat_sql(SEED_SQL, 2.0, 21, coefficients(2.0, 21))} SELECT closure.i AS hub, round(sum(v), 6) AS mass, count(*) AS nodes, count(DISTINCT file) AS files FROM closure JOIN field ON field.i = closure.j GROUP BY closure.i")
+def d9_anchor_closures(spark, sf):
+    """What each route reaches, with its mass in the seeds' field."""
+    from emberline.operators.sketch import closure_mass, closures
+
+    nodes, edges, field = key_field(spark, sf)
+    return closure_mass(closures(nodes, edges), field).select(F.col("i").alias("hub"), F.round("mass", 6).alias("mass"), F.col("k").alias("nodes"), "files")
+
+
 # impact -----------------------------------------------------------------------------------------------------------
 IMPACT_SQL = f"""{FIELD_SQL}, sf AS (SELECT DISTINCT file FROM nodes WHERE i IN (SELECT i FROM seeds)),
 warm AS (SELECT n.*, f.v, CASE WHEN n.file IN (SELECT file FROM sf) THEN 'seed' WHEN kind = 'anchor' THEN 'anchor' ELSE 'other' END AS place FROM nodes n JOIN field f ON f.i = n.i WHERE n.i NOT IN (SELECT i FROM seeds) AND v > 1e-6)"""

@@ -180,6 +180,11 @@ def route_pattern(pattern: str) -> str:
     return rf"{lead}{method}\(\s*{verb}{path}{tail}"
 
 
+def is_route(raw):
+    """Whether a call's string can be a route: a path, or a placeholder alone."""
+    return raw.rlike(fixed.PATH_TOKEN) | raw.rlike(fixed.PLACEHOLDER_ONLY)
+
+
 def anchors(files: DataFrame, rules=ANCHOR_RULES, implicit: bool = False) -> DataFrame:
     """id, kind, file, line, implicit: the routes that calls name. A class-level prefix is the first in its file."""
     x = lines(files)
@@ -199,7 +204,7 @@ def anchors(files: DataFrame, rules=ANCHOR_RULES, implicit: bool = False) -> Dat
             raw = F.concat(F.lit("/"), F.regexp_replace(raw, "^/+", ""))
         hit = hit.withColumn("raw", raw)
         in_path, bare = verb_in_path(F.col("raw"))
-        hit = hit.withColumn("in_path", in_path).withColumn("raw", bare).where(F.col("raw").rlike(fixed.PATH_TOKEN) | F.col("raw").rlike(fixed.PLACEHOLDER_ONLY))
+        hit = hit.withColumn("in_path", in_path).withColumn("raw", bare).where(is_route(F.col("raw")))
         if more == "verb":
             hit = hit.where(F.col("v").rlike(fixed.HTTP_VERB))
         verb = F.upper("v") if more == "verb" else F.coalesce("in_path", verb_of(F.col("m")))

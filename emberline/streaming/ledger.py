@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from emberline.functions import fixed
+from emberline.sources.lineage import place
 
 HALF_LIFE_S = fixed.HALF_LIFE_HOURS * 3600
 
@@ -65,9 +67,21 @@ def hourly(events: DataFrame, delay: str = "2 hours") -> DataFrame:
     return x.groupBy(F.window("at", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("mass")).select("w.start", "event_type", "n", "mass")
 
 
-def hourly_batch(events: DataFrame) -> DataFrame:
-    """Sums by event type and hour of day."""
-    return events.groupBy("event_type", F.hour("ts").alias("hour")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("mass"))
+def drained(rows: DataFrame, mode: str, what: str) -> DataFrame:
+    """What a stream gives when it is run to the end of what is there now: each batch is written under its number (in
+    complete mode each replaces the one before), so that a batch that comes again after a failure counts once."""
+    spark = rows.sparkSession
+    home = place(spark, what)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{home}/out/{'all' if mode == 'complete' else number}")
+
+    run = rows.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    try:
+        return spark.read.schema(rows.schema).parquet(f"{home}/out/*")
+    except AnalysisException:  # there was no batch
+        return spark.createDataFrame([], rows.schema)
 
 
 def verdict_stream(changes: DataFrame, decide, path: str):
