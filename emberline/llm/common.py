@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import re
 import tempfile
 import uuid
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from urllib.parse import unquote, urlparse
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space as the operators' contracts fix it: space and \x09-\x0D.
 SPACES = "[\\x20\\x09-\\x0D]+"
-BATCH_ROWS = 1000
+BATCH_ROWS, SLICE_ROWS = 1000, 250
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -71,6 +73,19 @@ def short_batches(spark: SparkSession, rows: int = BATCH_ROWS):
         spark.conf.set(key, old)
 
 
+def thrifty(f):
+    """f, a function of batches for mapInArrow, with batches of at most SLICE_ROWS rows, whoever runs the plan; what it took
+    is given back to the system at its end, since workers live on and their memory adds up."""
+
+    def run(batches):
+        yield from f(part for batch in batches for at in range(0, batch.num_rows, SLICE_ROWS) for part in (batch.slice(at, SLICE_ROWS),))
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # glibc's
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def cut(df: DataFrame, what: str) -> DataFrame:
     """df as a table written to the shared folder and read back: later jobs neither recompute it nor
     depend on any executor's disk."""

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import text_or_empty
+from emberline.llm.common import text_or_empty, thrifty
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "identifier", "secret", "endpoint")
@@ -167,7 +167,7 @@ def _scan_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """Per row of docs: counts of base spans, their digest, and all spans."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(docs, text).alias("text")).mapInArrow(_scan_batches, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(docs, text).alias("text")).mapInArrow(thrifty(_scan_batches), SCHEMA)
 
 
 def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars") -> DataFrame:
@@ -187,4 +187,4 @@ def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars")
                 cols[lengths] = pa.array([o if n is None or n == t else len(n) for o, n, t in zip(old, new, texts, strict=True)], batch.schema.field(lengths).type)
             yield pa.record_batch(cols, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(thrifty(run), docs.schema)

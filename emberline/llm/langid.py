@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import cut
+from emberline.llm.common import cut, thrifty
 
 #: About so many rows of each declared language are learned from, all of a rarer one.
 LANGUAGE_ROWS = 1_000
@@ -109,7 +109,7 @@ def fit(items: DataFrame, rows: int = LANGUAGE_ROWS) -> tuple[list[str], np.ndar
     sizes = told.groupBy("lang").agg(F.count("*").alias("n")).withColumnRenamed("lang", "s_lang")
     # sizes has a row for each language, few about `rows` short rows for each: they may be broadcast
     few = told.join(F.broadcast(sizes), F.col("lang") == F.col("s_lang")).where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) * F.col("n") < F.lit(rows << 30)).select(F.col("id").alias("f_id"), "lang")
-    counted = items.join(F.broadcast(few), items["id"] == few["f_id"]).select("lang", "text").mapInArrow(_count, "lang string, gram int, n long")
+    counted = items.join(F.broadcast(few), items["id"] == few["f_id"]).select("lang", "text").mapInArrow(thrifty(_count), "lang string, gram int, n long")
     got = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow().combine_chunks()
     # at most GRAMS rows for each language
     tag = pc.dictionary_encode(got["lang"].combine_chunks())
@@ -154,7 +154,7 @@ def _text_scores(items: DataFrame, langs: list[str], weights: np.ndarray, least:
             yield pa.record_batch([*(c for i, c in enumerate(batch.columns) if i != at), pa.array(n), pa.array(fits), ll], names=[*names, "grams", "fits", "text_ll"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in items.schema if f.name != "text")
-    return items.mapInArrow(run, schema + ", grams long, fits boolean, text_ll array<double>")
+    return items.mapInArrow(thrifty(run), schema + ", grams long, fits boolean, text_ll array<double>")
 
 
 def identify(items: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray] | None = None, accept_at: float = ACCEPT_AT, carry: tuple[str, ...] = ()) -> DataFrame:

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import ROW, cut, numbered, only, text_or_empty
+from emberline.llm.common import ROW, cut, numbered, only, text_or_empty, thrifty
 from emberline.llm.components import connected_components
 
 SHINGLE = 5
@@ -104,9 +104,7 @@ def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _full(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows, data = batch.column(0), batch.column(1).to_pylist()
-        for at in range(0, len(data), 500):
-            yield pa.record_batch([rows[at : at + 500], _lists([shingle_set(x) for x in data[at : at + 500]])], names=["rep", "vals"])
+        yield pa.record_batch([batch.column(0), _lists([shingle_set(x) for x in batch.column(1).to_pylist()])], names=["rep", "vals"])
 
 
 def _entries(reps: DataFrame) -> DataFrame:
@@ -261,7 +259,7 @@ class _Search:
     def full_sets(self) -> DataFrame:
         """rep and its full set, for every representative in a list; made once, from the representatives' own rows."""
         if self.sets is None:
-            self.sets = cut(only(self.texts, "row", self.members).mapInArrow(_full, "rep long, vals array<long>"), "sets")
+            self.sets = cut(only(self.texts, "row", self.members).mapInArrow(thrifty(_full), "rep long, vals array<long>"), "sets")
         return self.sets
 
     def join(self, links: DataFrame) -> None:
@@ -318,7 +316,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", row: str | None = None)
     the column `row` (see common.numbered)."""
     items = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(docs, text).cast("binary").alias("text"), *([F.col(row).alias(ROW)] if row else []))
     items = (items if row else numbered(items)).select(F.col(ROW).alias("row"), "doc_id", "text")
-    sketched = cut(items.mapInArrow(_sketch, "row long, doc_id long, n long, mark binary, sketch array<long>"), "sketches")
+    sketched = cut(items.mapInArrow(thrifty(_sketch), "row long, doc_id long, n long, mark binary, sketch array<long>"), "sketches")
     told = sketched.where("n > 0 and doc_id is not null")
     classes = cut(told.groupBy("mark").agg(F.min(F.struct("doc_id", "row")).alias("f")).select("mark", F.col("f.doc_id").alias("least"), F.col("f.row").alias("rep")), "classes")
     reps = only(told, "row", classes.select("rep")).select(F.col("row").alias("rep"), "n", "sketch")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.llm import wordbpe
-from emberline.llm.common import cut, text_or_empty
+from emberline.llm.common import cut, text_or_empty, thrifty
 
 LIMIT = 4096
 
@@ -212,7 +212,7 @@ def cut_pieces(docs: DataFrame, text: str = "text", limit: int = LIMIT, path: st
             cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
 
-    return items.mapInArrow(run, PIECES)
+    return items.mapInArrow(thrifty(run), PIECES)
 
 
 def pack(docs: DataFrame, text: str = "text", limit: int = LIMIT, path: str | None = None) -> DataFrame:
