@@ -51,13 +51,13 @@ class Sums:
     def __init__(self, counts: np.ndarray):
         self.limit = len(counts) - 1
         self.left = np.zeros(self.limit + 1, np.int64)
-        self.pairs, self.triples = np.zeros_like(self.left), np.zeros_like(self.left)
+        self.pairs, self.triples = np.zeros((2, 3 * self.limit + 1), np.int64)
         for n in np.flatnonzero(counts).tolist():
             for level in (1, 2, 3)[: int(min(counts[n], 3))]:
                 self._count(n, level, 1)
             self.left[n] = counts[n]
         # the longest part of the combination last found for each sum
-        self.pair_at, self.triple_at = np.arange(self.limit + 1), np.arange(self.limit + 1)
+        self.pair_at, self.triple_at = np.full((2, 3 * self.limit + 1), self.limit)
 
     def _others(self, n: int) -> np.ndarray:
         there = self.left > 0
@@ -69,16 +69,15 @@ class Sums:
         top = self.limit + 1
         if level == 1:
             if sign < 0:  # pairs are to be those without n
-                self.pairs[n:top] -= self._others(n)[: top - n]
-            self.triples[n:top] += sign * self.pairs[: top - n]
+                self.pairs[n : n + top] -= self._others(n)
+            self.triples[n:] += sign * self.pairs[: len(self.pairs) - n]
             if sign > 0:
-                self.pairs[n:top] += self._others(n)[: top - n]
-        elif level * n < top:
-            if level == 3:
-                self.triples[3 * n] += sign
-            else:
-                self.pairs[2 * n] += sign
-                self.triples[2 * n : top] += sign * self._others(n)[: top - 2 * n]
+                self.pairs[n : n + top] += self._others(n)
+        elif level == 2:
+            self.pairs[2 * n] += sign
+            self.triples[2 * n : 2 * n + top] += sign * self._others(n)
+        else:
+            self.triples[3 * n] += sign
 
     def take(self, n: int, times: int = 1) -> None:
         """Uses up pieces of length n."""
@@ -92,7 +91,7 @@ class Sums:
 
     def _pair(self, total: int, most: int) -> tuple[int, int] | None:
         """The pair with the longest part of at most `most`."""
-        a = np.arange(min(most, total - 1), (total - 1) // 2, -1)
+        a = np.arange(min(most, total - 1), max((total - 1) // 2, total - self.limit - 1), -1)
         ok = (self.left[a] > 0) & (self.left[total - a] > (a == total - a))
         k = int(np.argmax(ok)) if len(a) else 0
         return (int(a[k]), int(total - a[k])) if len(a) and ok[k] else None

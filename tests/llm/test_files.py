@@ -167,7 +167,7 @@ def test_exact_complements_come_first():
     counts[[7, 6, 4, 3, 2, 1]] = [1, 1, 1, 1, 1, 1]
     plan = fill(counts, 10)
     assert [sorted(n for n, _ in p) for _, _, p in plan.patterns][:2] == [[3, 7], [4, 6]]
-    sums = packing._Sums(np.array([0, 1, 1, 0, 1, 2, 0, 0, 0, 0, 0]))
+    sums = packing.Sums(np.array([0, 1, 1, 0, 1, 2, 0, 0, 0, 0, 0]))
     assert sums.exact(5) == (5,) and sums.pair(6) == (5, 1) and sums.pair(10) == (5, 5) and sums.triple(7) == (4, 2, 1)
     assert sums.pair(2) is None and sums.triple(14) == (5, 5, 4) and sums.triple(13) is None
 
