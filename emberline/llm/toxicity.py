@@ -106,8 +106,9 @@ class Model:
     bias: float
 
     def score(self, data: str) -> float:
-        k = self.table[presence(data)]
-        z = self.bias + self.weight[k[k >= 0]].sum()
+        chosen = [np.unique(k[k >= 0]) for k in map(self.table.__getitem__, windows(data))]
+        k = np.unique(np.concatenate(chosen)) if chosen else np.zeros(0, int)
+        z = self.bias + self.weight[k].sum()
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 

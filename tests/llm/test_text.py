@@ -272,3 +272,42 @@ def test_every_telling_number_is_chosen(spark):
     rows = [(k, " ".join(rng.sample(words if k % 2 else clean, 150)), k % 2) for k in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     assert len(toxicity.fit(docs, docs.select("doc_id", "toxic")).weight) > 2048
+
+
+def test_stretches_change_nothing(monkeypatch):
+    """Texts longer than a stretch have the grams, numbers and score that they have in one piece."""
+    rng = random.Random(12)
+    parts = ["a", "B", "é", "É", " ", "  ", "\n", ".", "日本", "×", "Ã", "the ", "Σ", "🙂", "7"]
+    model = toxicity.Model(np.arange(toxicity.BUCKETS) % 97 - 1, np.linspace(-1, 1, 96), 0.1)
+    for _ in range(300):
+        text = "".join(rng.choices(parts, k=rng.randrange(0, 40)))
+        whole = toxicity.numbers(text), toxicity.presence(text), model.score(text), [g for x in langid.grams(text.encode()) for g in x]
+        for chunk in (3, 5, 16):
+            monkeypatch.setattr(toxicity, "CHUNK", chunk)
+            monkeypatch.setattr(langid, "CHUNK", chunk)
+            assert sorted(toxicity.numbers(text)) == sorted(whole[0]) and (toxicity.presence(text) == whole[1]).all()
+            assert model.score(text) == whole[2] and [g for x in langid.grams(text.encode()) for g in x] == whole[3]
+        monkeypatch.undo()
+
+
+def test_score_against_plain_counts(spark):
+    """Chosen numbers, ratios and scores against sets and logarithms written out."""
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(40)]
+    rows = [(k, " ".join(rng.sample(words[:30] if k % 3 else words[10:], 12))) for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    taught = [(set(toxicity.numbers(t).tolist()), int(k % 3 == 0)) for k, t in rows if zlib.crc32(str(k).encode()) % 3 != 1]
+    ones = sum(y for _, y in taught)
+    share, g = ones / len(taught), {}
+    for x in set().union(*(s for s, _ in taught)):
+        k1, k0 = (sum(x in s for s, y in taught if y == c) for c in (1, 0))
+        if k1 + k0 >= toxicity.LEAST_DOCS:
+            g[x] = 2 * sum(k * np.log(k / ((k1 + k0) * p)) for k, p in ((k1, share), (k0, 1 - share)) if k)
+    strong = {x for x, v in g.items() if round(v, 6) >= toxicity.SELECT_AT}
+    assert len(strong) >= toxicity.LEAST_SELECTED and set(np.flatnonzero(model.table >= 0).tolist()) == strong
+    for r in toxicity.score(docs, model).collect():
+        own = set(toxicity.numbers(dict(rows)[r.doc_id]).tolist()) & strong
+        z = model.bias + sum(model.weight[model.table[x]] for x in own)
+        assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-9
