@@ -47,17 +47,17 @@ STOP_WORDS = (
 )
 
 # Callees that carry no meaning across files.
-CALL_WARDS = tuple(
-    """log info warn debug trace close flush tostring valueof tolowercase touppercase printf sprintf fprintf errorf
-    fatal fatalf panic panicf println print
-    require console settimeout setinterval cleartimeout clearinterval queuemicrotask parseint parsefloat isnan isfinite
-    it describe test expect xit xdescribe beforeeach aftereach beforeall afterall jest vitest vi mock spyon
-    str int float bool bytes bytearray list dict set tuple frozenset super isinstance issubclass getattr setattr
-    hasattr delattr open range enumerate zip sorted next all any sum abs round format chr ord hex oct
-    bin id input vars dir callable hash object property staticmethod classmethod memoryview slice type repr len
-    append cap clear delete make new copy complex real imag recover min max
-    unwrap clone into from collect iter eprintln vec assert asserteq assertne dbg""".split()
-)
+CALL_WARDS = (
+    "log", "info", "warn", "debug", "trace", "close", "flush", "tostring", "valueof", "tolowercase", "touppercase", "printf", "sprintf", "fprintf", "errorf",
+    "fatal", "fatalf", "panic", "panicf", "println", "print",
+    "require", "console", "settimeout", "setinterval", "cleartimeout", "clearinterval", "queuemicrotask", "parseint", "parsefloat", "isnan", "isfinite",
+    "it", "describe", "test", "expect", "xit", "xdescribe", "beforeeach", "aftereach", "beforeall", "afterall", "jest", "vitest", "vi", "mock", "spyon",
+    "str", "int", "float", "bool", "bytes", "bytearray", "list", "dict", "set", "tuple", "frozenset", "super", "isinstance", "issubclass", "getattr", "setattr",
+    "hasattr", "delattr", "open", "range", "enumerate", "zip", "sorted", "next", "all", "any", "sum", "abs", "round", "format", "chr", "ord", "hex", "oct",
+    "bin", "id", "input", "vars", "dir", "callable", "hash", "object", "property", "staticmethod", "classmethod", "memoryview", "slice", "type", "repr", "len",
+    "append", "cap", "clear", "delete", "make", "new", "copy", "complex", "real", "imag", "recover", "min", "max",
+    "unwrap", "clone", "into", "from", "collect", "iter", "eprintln", "vec", "assert", "asserteq", "assertne", "dbg",
+)
 
 # Graph weights, call gates and relation priorities.
 EDGE_WEIGHT = {"contains": 1.0, "imports": 0.3, "tests": 0.6, "inherits": 0.9}

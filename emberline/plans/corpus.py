@@ -30,10 +30,25 @@ CORPUS = {
 }
 
 
+#: What spans lines, and what is no code: comments, strings, templates.
+SPREAD = {
+    "web/panel.ts": "import {\n  first,\n  use,\n} from './use-state';\n/* import x from './gone';\n   send('/api/gone'); */\nexport class Panel extends View {\n  private open = false;\n  label?: string;\n  @Input() size: number;\n  constructor(private host: Host) {\n    super(host);\n  }\n  // close() was here\n  async load(\n    id: string,\n  ): Promise<void> {\n    await http.get(\n      `/panels/${id}`,\n      { wait: true },\n    );\n    note('draw(it) // not a comment', `${encode(id)} draw(it)`);\n  }\n}\nexport interface Host {\n  name: string;\n  attach(panel: Panel): void;\n}\nfunction later(cb) {\n  const inner = 1;\n}\n",
+    "srv/Panels.java": "@RequestMapping(\n    \"/java\")\npublic class Panels {\n  private final Store store = new Store(1);\n  @GetMapping(\n      \"/list\") // \"/not\"\n  public List<String> all(int page) {\n    if (page > 0) { return store.fetch(page); }\n    return null;\n  }\n}\n",
+    "srv/main.go": "package main\n\nimport (\n\t\"net/http\"\n\tpanels \"srv/panels\"\n)\n\n// mux.Get(\"/gone\", nil)\ntype Hub struct {\n\tstore *Store\n\tDial(port int) error\n}\n\nfunc run() {\n\tmux.Handle(\n\t\t\"/hub\",\n\t\tserve(`fake(1)`))\n\tnames := []string{\n\t\t\"alpha\"}\n}\n",
+    "srv/lib.rs": "use crate::{\n    one, two,\n};\nstruct Hub<'a> {\n    name: &'a str,\n}\nimpl<'a> Hub<'a> {\n    pub fn open(&self) {\n        // shut(1)\n        start(\"stop(2)\");\n    }\n}\n",
+    "srv/App.kt": "class App {\n    val size = 3\n    fun boot(n: Int) {\n        get(\"/boot\") {\n        }\n    }\n}\n",
+    "jobs/run.py": "\"\"\"Calls nothing: idle(1)\n'unclosed\n\"\"\"\n# wake(2)\nfrom jobs.mail import (\n    send,\n)\n\nclient.post(\n    '/jobs/run',\n    data=pack('x # y'),\n)\n",
+}
+
+
 def corpus(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(CORPUS.items()), "file string, text string")
 
 
+def spread(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(SPREAD.items()), "file string, text string")
+
+
 SYMBOLS = [
     ("jobs/cron.py", "start", "function", 1), ("jobs/mail.py", "send", "function", 1), ("jobs/report.py", "KEY", "decl", 4), ("jobs/report.py", "Report", "class", 6),
     ("jobs/report.py", "Report.build", "method", 7), ("jobs/report.py", "show", "function", 11), ("lib/core.rs", "run", "function", 2), ("shop/server.go", "Shop", "class", 11),
@@ -48,6 +63,22 @@ def a9_symbols(spark, sf):
     return extract.symbols(corpus(spark)).select("file", "name", "kind", "line")
 
 
+MEMBERS = [
+    ("srv/App.kt", "App", "class", 1, "class App {"), ("srv/App.kt", "App.boot", "method", 3, "fun boot(n: Int) {"), ("srv/App.kt", "App.size", "field", 2, "val size = 3"),
+    ("srv/Panels.java", "Panels", "class", 3, "public class Panels {"), ("srv/Panels.java", "Panels.all", "method", 7, "public List<String> all(int page) {"), ("srv/Panels.java", "Panels.store", "field", 4, "private final Store store = new Store(1)"),
+    ("srv/lib.rs", "Hub", "class", 4, "struct Hub<'a> {"), ("srv/lib.rs", "Hub.name", "field", 5, "name: &'a str,"), ("srv/lib.rs", "Hub.open", "method", 8, "pub fn open(&self) {"),
+    ("srv/main.go", "Hub", "class", 9, "type Hub struct {"), ("srv/main.go", "Hub.Dial", "method", 11, "Dial(port int) error"), ("srv/main.go", "Hub.store", "field", 10, "store *Store"), ("srv/main.go", "run", "function", 14, "func run() {"),
+    ("web/panel.ts", "Host", "interface", 25, "export interface Host {"), ("web/panel.ts", "Host.attach", "method", 27, "attach(panel: Panel): void"), ("web/panel.ts", "Host.name", "field", 26, "name: string"),
+    ("web/panel.ts", "Panel", "class", 7, "export class Panel extends View {"), ("web/panel.ts", "Panel.constructor", "method", 11, "constructor(private host: Host) {"), ("web/panel.ts", "Panel.label", "field", 9, "label?: string"),
+    ("web/panel.ts", "Panel.load", "method", 15, "async load("), ("web/panel.ts", "Panel.open", "field", 8, "private open = false"), ("web/panel.ts", "Panel.size", "field", 10, "size: number"), ("web/panel.ts", "later", "function", 29, "function later(cb) {"),
+]
+
+
+@query(values("file VARCHAR, name VARCHAR, kind VARCHAR, line INT, sig VARCHAR", MEMBERS))
+def a9_members(spark, sf):
+    return extract.symbols(spread(spark)).select("file", "name", "kind", "line", "sig")
+
+
 NAMED = [("func (s *Shop) Serve(x int)", "Go", "Shop.Serve", "method"), ("type X struct {", "Go", "X", "class"), ("export interface Y {", "TypeScript", "Y", "interface"), ("*ptr = 3", "C", "ptr", "decl"), ("defmodule A.B do", "Elixir", "A.B", "class"), ("", "Lua", "?", "decl")]
 
 
@@ -65,6 +96,11 @@ def a12_imports(spark, sf):
     return extract.imports(corpus(spark))
 
 
+@query(values("file VARCHAR, spec VARCHAR, line INT", [("web/panel.ts", "./use-state", 1), ("srv/main.go", "net/http", 3), ("srv/main.go", "srv/panels", 3), ("srv/lib.rs", "crate", 1), ("jobs/run.py", "jobs.mail", 5)]))
+def a12_spread_imports(spark, sf):
+    return extract.imports(spread(spark))
+
+
 CALLS = [
     ("shop/server.go", 6, "HandleFunc"), ("shop/server.go", 7, "Get"), ("shop/server.go", 8, "Fetch"), ("shop/store/store.go", 4, "Getenv"), ("web/orders.ts", 5, "get"), ("web/client.ts", 1, "makeClient"), ("web/client.ts", 2, "fetch"),
     ("web/orders.test.ts", 2, "loadOrder"), ("web/carts.controller.ts", 1, "Controller"), ("web/carts.controller.ts", 3, "Get"), ("web/carts.controller.ts", 4, "Post"), ("jobs/report.py", 8, "send"), ("jobs/report.py", 10, "route"),
@@ -77,6 +113,19 @@ def a13_calls(spark, sf):
     return extract.calls(corpus(spark))
 
 
+SPREAD_CALLS = [
+    ("web/panel.ts", 18, "get"), ("web/panel.ts", 22, "encode"), ("web/panel.ts", 22, "note"), ("srv/Panels.java", 1, "RequestMapping"),
+    ("srv/Panels.java", 4, "Store"), ("srv/Panels.java", 5, "GetMapping"), ("srv/Panels.java", 8, "fetch"), ("srv/main.go", 15, "Handle"), ("srv/main.go", 17, "serve"), ("srv/lib.rs", 10, "start"),
+    ("srv/App.kt", 4, "get"), ("jobs/run.py", 9, "post"), ("jobs/run.py", 11, "pack"),
+]
+
+
+@query(values("file VARCHAR, line INT, callee VARCHAR", SPREAD_CALLS))
+def a13_code_only(spark, sf):
+    """Calls in comments and strings aren't calls, those that a template puts in are; declarations aren't."""
+    return extract.calls(spread(spark))
+
+
 @query(values("file VARCHAR, line INT, text VARCHAR", [("deploy/app.yaml", 1, "SHOP_DB_URL"), ("deploy/app.yaml", 2, "/orders/{id}"), ("deploy/app.yaml", 3, "shop")]))
 def a15_config_literals(spark, sf):
     return extract.literals(corpus(spark).where("file like '%.yaml'"))
@@ -94,6 +143,11 @@ def a16_route_anchors(spark, sf):
     return extract.anchors(corpus(spark)).select("id", "file", "line")
 
 
+@query(values("id VARCHAR, file VARCHAR, line INT", [("GET /panels/{*}", "web/panel.ts", 18), ("GET /java/list", "srv/Panels.java", 5), ("HANDLE /hub", "srv/main.go", 15), ("GET /boot", "srv/App.kt", 4), ("POST /jobs/run", "jobs/run.py", 9)]))
+def a16_spread_anchors(spark, sf):
+    return extract.anchors(spread(spark)).select("id", "file", "line")
+
+
 @query(values("id VARCHAR, kind VARCHAR, file VARCHAR", [("GET /users/{*}", "route", "site/app/users/[id]/route.ts"), ("DELETE /users/{*}", "route", "site/app/users/[id]/route.ts"), ("POST /api/ping", "route", "site/pages/api/ping.post.ts")]))
 def a17_file_routes(spark, sf):
     return extract.file_routes(corpus(spark)).select("id", "kind", "file")
