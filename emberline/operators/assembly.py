@@ -31,12 +31,13 @@ class Graph:
     adj: DataFrame
 
 
-def assemble(files: DataFrame, rules: tuple = (), max_bytes: int = fixed.MAX_FILE_BYTES) -> Graph:
-    """files: file, text. Oversized and generated files are nodes without facts. rules: further route rules."""
+def assemble(files: DataFrame, rules: tuple = (), max_bytes: int = fixed.MAX_FILE_BYTES, file_rules: tuple = ()) -> Graph:
+    """files: file, text. Oversized and generated files are nodes without facts. rules: further route rules;
+    file_rules: further rules of routes that are a file's path, as in fixed.FILE_ROUTES."""
     listing = files.select("file")
     usable = coverage(files, max_bytes).where("status = 'ok'").select("file", "text")
     symbols = cut(extract.symbols(usable), "symbols")
-    drafts = extract.anchors(usable, extract.ANCHOR_RULES + rules).unionByName(extract.file_routes(usable).withColumn("implicit", F.lit(False)))
+    drafts = extract.anchors(usable, extract.ANCHOR_RULES + rules).unionByName(extract.file_routes(usable, fixed.FILE_ROUTES + file_rules).withColumn("implicit", F.lit(False)))
 
     file_nodes = listing.select(F.lit(0).alias("o"), F.concat(F.lit("file:"), "file").alias("id"), base_name(F.col("file")).alias("name"), F.lit("file").alias("kind"), "file", F.lit(0).alias("line"), F.col("file").alias("sig"), language_of(F.col("file")).alias("lang"))
     symbol_nodes = symbols.select(F.lit(1).alias("o"), F.concat_ws("@", "name", "file").alias("id"), "name", "kind", "file", "line", "sig", "lang")

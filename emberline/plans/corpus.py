@@ -168,6 +168,13 @@ def c2_resolve_imports(spark, sf):
     return graph.resolve_imports(extract.imports(files), files.select("file"))
 
 
+@query(values("id VARCHAR, kind VARCHAR, file VARCHAR", [("ANY /v1/routes", "route", "lib/routes.rb"), ("GET /users/{*}", "route", "site/app/users/[id]/route.ts"), ("DELETE /users/{*}", "route", "site/app/users/[id]/route.ts"), ("POST /api/ping", "route", "site/pages/api/ping.post.ts")]))
+def i2_own_file_routes(spark, sf):
+    """The built-in rules with one of the user's."""
+    own = (("ruby-lib", r"^lib/(.+)\.rb$", "suffix", "/v1", "route"),)
+    return extract.file_routes(corpus(spark), fixed.FILE_ROUTES + own).select("id", "kind", "file")
+
+
 CLASSES = [(1, "Base", "class Base"), (2, "Orders", "export class Orders extends Base {"), (3, "Carts", "class Carts implements Closeable, Base {"), (4, "Closeable", "interface Closeable")]
 
 
