@@ -174,3 +174,14 @@ def test_verdict_per_batch(spark, tmp_path):
     q = ledger.verdict_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), lambda b, i: seen.append((i, b.count())), str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert seen == [(0, 1)]
+
+
+def test_texts_that_are_hard_to_split(spark):
+    """Null and empty texts have no facts; long strings and comments, closed or not, need no stack, and change no line."""
+    big = 300_000
+    texts = [None, "", '"' + "\\n" * big + '"\nrun(1)', "/*" + "x\n" * big + "*/ run(2)", "/*" + "y" * big, "'" * big, "`" + "z\n" * big + "`;run(3)"]
+    df = spark.createDataFrame([(f"f{k}.ts", t) for k, t in enumerate(texts)], "file string, text string")
+    assert sorted(map(tuple, extract.calls(df).collect())) == [("f2.ts", 2, "run"), ("f3.ts", big + 1, "run"), ("f6.ts", big + 1, "run")]
+    assert extract.imports(df).count() == extract.anchors(df).count() == extract.symbols(df).count() == 0
+    none = extract.stripped(df.where("text is not null")).where("size(split(text, '\n')) <> size(split(code, '\n')) or size(split(text, '\n')) <> size(split(bare, '\n'))")
+    assert none.count() == 0
