@@ -40,11 +40,11 @@ def channel(reasons: Column) -> Column:
     return F.coalesce(F.array_max(each), F.lit(fixed.UNKNOWN_CHANNEL))
 
 
-def cooled(memory: DataFrame, now: Column, cap: int = fixed.MEMORY_CAP) -> DataFrame:
-    """key, m: what the memory still holds at now, the strongest `cap` entries. memory: key, m, t."""
+def cooled(memory: DataFrame, now: Column, cap: int | None = fixed.MEMORY_CAP) -> DataFrame:
+    """key, m: what the memory still holds at now, the strongest `cap` entries; all of them if it is None. memory: key, m, t."""
     hours = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("t").cast("timestamp"))) / 3.6e9
     x = memory.select("key", decayed(F.col("m"), hours).alias("m")).where("m > 1e-9")
-    return strongest(x, cap)
+    return x if cap is None else strongest(x, cap)
 
 
 def strongest(entries: DataFrame, cap: int = fixed.MEMORY_CAP) -> DataFrame:
