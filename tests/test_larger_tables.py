@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 def many_users(tmp_path_factory):
     """Events of so many users that the memory of heat has 5,000 entries, more than a sync keeps."""
     folder = tmp_path_factory.mktemp("many_users")
-    duckdb.sql(f"COPY (SELECT event_id + k * 1000 AS event_id, ts, user_id + k * 1500 AS user_id, event_type, value, props FROM '{SF}/events.parquet', range(200) AS r(k)) TO '{folder}/events.parquet' (FORMAT parquet)")
+    duckdb.sql(f"COPY (SELECT event_id + k * 1000 AS event_id, ts, user_id + k * 1503 AS user_id, event_type, value, props FROM '{SF}/events.parquet', range(200) AS r(k)) TO '{folder}/events.parquet' (FORMAT parquet)")
     return str(folder)
 
 
@@ -21,3 +21,7 @@ def same_as_sql(spark, check_rows, name, tables):
 
 def test_surprise_beyond_the_cap(spark, check_rows, many_users):
     same_as_sql(spark, check_rows, "d10_surprise", many_users)
+
+
+def test_charge_beyond_the_cap(spark, check_rows, many_users):
+    same_as_sql(spark, check_rows, "h7_ledger_charge", many_users)
