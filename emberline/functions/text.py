@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -103,24 +105,41 @@ def short_name(name: Column) -> Column:
     return F.element_at(F.split(name, r"\."), -1)
 
 
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value computed once a row. Within lambdas Spark computes an expression anew for each element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def _bigrams(s: Column) -> Column:
-    """Bigrams with their number among equals, so that multisets meet as sets."""
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - 1, F.lit(1))), lambda i: F.substr(s, i, F.lit(2)))
-    return F.transform(pairs, lambda p, i: F.concat_ws("#", p, F.size(F.filter(F.slice(pairs, F.lit(1), i), lambda q: q == p)).cast("string")))
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - 1, F.lit(1))), lambda i: F.substr(s, i, F.lit(2)))
+
+
+def _shared(a: Column, b: Column) -> Column:
+    """Size of the intersection of two arrays as multisets."""
+    count = lambda x, of: F.size(of) - F.size(F.array_remove(of, x))
+    return F.aggregate(F.array_intersect(a, b), F.lit(0), lambda n, x: n + F.least(count(x, a), count(x, b)))
 
 
 def dice(a: Column, b: Column) -> Column:
     """Multiset overlap of bigrams, 0 to 1."""
-    shared = F.size(F.array_intersect(_bigrams(a), _bigrams(b)))
-    return F.when(a == b, 1.0).when((F.length(a) < 2) | (F.length(b) < 2), 0.0).otherwise(2.0 * shared / (F.length(a) + F.length(b) - 2))
+
+    def of(s: Column) -> Column:
+        shared = _bound(F.struct(_bigrams(s["a"]).alias("a"), _bigrams(s["b"]).alias("b")), lambda g: _shared(g["a"], g["b"]))
+        return F.when(s["a"] == s["b"], 1.0).when((F.length(s["a"]) < 2) | (F.length(s["b"]) < 2), 0.0).otherwise(2.0 * shared / (F.length(s["a"]) + F.length(s["b"]) - 2))
+
+    return _bound(F.struct(a.alias("a"), b.alias("b")), of)
 
 
 def similarity(query: Column, name: Column) -> Column:
     """How well a symbol's name answers a query."""
-    q, c = terms(query), terms(short_name(name))
-    shared = F.size(F.array_intersect(q, c))
-    share = lambda of: F.when(F.size(of) > 0, shared / F.size(of)).otherwise(0.0)
-    return F.greatest(0.72 * share(q) + 0.28 * share(c), dice(F.array_join(q, ""), F.array_join(c, "")))
+
+    def of(t: Column) -> Column:
+        q, c = t["q"], t["c"]
+        shared = F.size(F.array_intersect(q, c))
+        share = lambda of: F.when(F.size(of) > 0, shared / F.size(of)).otherwise(0.0)
+        return F.greatest(0.72 * share(q) + 0.28 * share(c), dice(F.array_join(q, ""), F.array_join(c, "")))
+
+    return _bound(F.struct(terms(query).alias("q"), terms(short_name(name)).alias("c")), of)
 
 
 def same_terms(query: Column, name: Column) -> Column:

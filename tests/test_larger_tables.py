@@ -2,7 +2,9 @@
 
 import duckdb
 import pytest
+from emberline.functions.text import similarity
 from emberline.plans import catalog
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,3 +27,17 @@ def test_surprise_beyond_the_cap(spark, check_rows, many_users):
 
 def test_charge_beyond_the_cap(spark, check_rows, many_users):
     same_as_sql(spark, check_rows, "h7_ledger_charge", many_users)
+
+
+#: Of the expression of terms; its constant parts are folded.
+SPLIT = "[^a-z0-9]+"
+
+
+def optimized(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_similarity_computes_terms_once(spark):
+    """Where terms occur again in lambdas over bigrams, they are computed anew for each bigram, or each two."""
+    names = spark.range(9).select(F.concat(F.lit("loadUser"), F.col("id").cast("string")).alias("name"))
+    assert optimized(names.select(similarity(F.lit("load the users"), F.col("name")).alias("score"))).count(SPLIT) == 1
