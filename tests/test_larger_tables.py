@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 from emberline.functions.text import similarity
+from emberline.operators.seeds import suggestions
 from emberline.plans import catalog
 from pyspark.sql import functions as F
 
@@ -41,3 +42,8 @@ def test_similarity_computes_terms_once(spark):
     """Where terms occur again in lambdas over bigrams, they are computed anew for each bigram, or each two."""
     names = spark.range(9).select(F.concat(F.lit("loadUser"), F.col("id").cast("string")).alias("name"))
     assert optimized(names.select(similarity(F.lit("load the users"), F.col("name")).alias("score"))).count(SPLIT) == 1
+
+
+def test_suggestions_compute_terms_for_the_filter_and_the_score(spark):
+    nodes = spark.range(9).selectExpr("id AS i", "'loadUser' || id AS name", "'a.go' AS file", "'function' AS kind", "'Go' AS lang")
+    assert optimized(suggestions(nodes, "load the users")).count(SPLIT) <= 2
