@@ -73,6 +73,13 @@ def resolve(nodes: DataFrame, keys: DataFrame, occ: DataFrame, query: str, **sco
 
 
 def suggestions(nodes: DataFrame, query: str, most: int = 5, **scope) -> DataFrame:
-    """i, name, file, score of the symbols most like a query that found nothing."""
-    x = _symbols(nodes).where(in_scope(F.col("file"), F.col("lang"), F.col("kind"), **scope)).withColumn("score", similarity(trimmed(F.lit(query)), F.col("name")))
-    return x.where(F.col("score") >= fixed.SUGGEST_AT).orderBy(F.desc("score"), "name", "file", "i").limit(most).select("i", "name", "file", "score")
+    """i, name, file, score of the symbols most like a query that found nothing. Each name is scored once, spread over all
+    cores: names are short, so that few files and few partitions hold many. The best symbols have the best `most` names."""
+    x = _symbols(nodes).where(in_scope(F.col("file"), F.col("lang"), F.col("kind"), **scope))
+    cores = nodes.sparkSession.sparkContext.defaultParallelism
+    told = x.select(F.col("name").alias("t_name")).where("t_name is not null").distinct().repartition(cores, "t_name")
+    scored = told.select("t_name", similarity(trimmed(F.lit(query)), F.col("t_name")).alias("score"))
+    # the threshold comes after the limit, or it would be pushed below the score and compute it twice
+    best = scored.orderBy(F.desc("score"), "t_name").limit(most).where(F.col("score") >= fixed.SUGGEST_AT)
+    found = x.join(F.broadcast(best), x["name"] == best["t_name"])  # `most` rows
+    return found.orderBy(F.desc("score"), "name", "file", "i").limit(most).select("i", "name", "file", "score")

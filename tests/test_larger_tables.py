@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from emberline.functions import fixed
 from emberline.functions.text import similarity
 from emberline.operators.seeds import suggestions
 from emberline.plans import catalog
@@ -47,3 +48,16 @@ def test_similarity_computes_terms_once(spark):
 def test_suggestions_compute_terms_for_the_filter_and_the_score(spark):
     nodes = spark.range(9).selectExpr("id AS i", "'loadUser' || id AS name", "'a.go' AS file", "'function' AS kind", "'Go' AS lang")
     assert optimized(suggestions(nodes, "load the users")).count(SPLIT) <= 2
+
+
+def test_suggestions_score_each_name_once(spark):
+    """Not once a row, nor again for the threshold, and with the rows of a score for each row."""
+    names = ["loadUsers", None, "theUser", "loadUsers", "storeUser", "load_user", "the.loadUser"]
+    nodes = spark.createDataFrame([(i, n, f"{i % 2}.go", "function", "Go") for i, n in enumerate(names * 3)], "i long, name string, file string, kind string, lang string")
+    found = suggestions(nodes, "load the users", 7)
+    assert optimized(found).count(SPLIT) == 1
+    plan = optimized(found)
+    assert plan.index("Aggregate [") > plan.index(SPLIT)  # below the score
+    plain = nodes.withColumn("score", similarity(F.lit("load the users"), F.col("name"))).where(F.col("score") >= fixed.SUGGEST_AT)
+    rows = plain.orderBy(F.desc("score"), "name", "file", "i").limit(7).select("i", "name", "file", "score").collect()
+    assert found.collect() == rows and len(rows) == 7
